@@ -19,6 +19,24 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return s.unionByName(_t(spark, sf, "chunks").select(F.col("chunk_id").alias("item_id"), "text"))
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.consensus import wrong_labels
+
+    return wrong_labels(_t(spark, sf, "judgments"), _t(spark, sf, "gold"), spark)
+
+
+def p1_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.consensus import consensus
+
+    return consensus(_t(spark, sf, "judgments"), spark)[0]
+
+
+def p1_annotators(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.consensus import consensus
+
+    return consensus(_t(spark, sf, "judgments"), spark)[1]
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.split_oversized import oversized, split_oversized
 
@@ -43,6 +61,18 @@ def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
     return assign_splits(_t(spark, sf, "gold"), spark)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.near_duplicates import similar_pairs
+
+    return similar_pairs(_t(spark, sf, "gold"), spark)
+
+
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(_t(spark, sf, "gold"), spark)
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.tokenize_automaton import encode_documents
 
