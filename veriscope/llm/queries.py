@@ -73,12 +73,38 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicate_classes(_t(spark, sf, "gold"), spark)
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.sentences import found
+
+    return found(_t(spark, sf, "sources"), _t(spark, sf, "extracted_claims"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.language_labels import mislabelled
+
+    return mislabelled(_t(spark, sf, "gold"), _t(spark, sf, "languages"))
+
+
+def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.language_labels import language_list, language_segments, train_on
+
+    gold, known = _t(spark, sf, "gold"), language_list(_t(spark, sf, "languages"))
+    out = language_segments(gold, train_on(gold, known), known)
+    return out.select("row_id", F.posexplode("segments").alias("segment_no", "s")).select("row_id", "segment_no", "s.*")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.tokenize_automaton import encode_documents
 
     return encode_documents(_t(spark, sf, "documents"))
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.fill_containers import fill_containers
+
+    return fill_containers(_t(spark, sf, "documents"), spark)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.canonical_text import look_alike_pairs
 
