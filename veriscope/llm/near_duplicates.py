@@ -5,7 +5,7 @@ selects a few of the claim's minwise tokens (by a hash of the node, so that all
 each the claim goes on to the child named by the token. Two claims of similarity J take such a step together with
 probability J, so similar ones meet in a leaf and others part. Paths depend on the claim alone and are computed without
 a shuffle; what is shuffled is one packed record for each leaf a claim reaches. Leaves with few claims are compared
-exhaustively, on 128-bit sketches; leaves with more claims branch on, level by level, until they are small. Independent
+exhaustively, on sketches of 128 parities; leaves with more claims branch on, level by level, until they are small. Independent
 trees repeat this until the recall asked for. Surviving pairs are then measured exactly on the texts.
 
 Repeats of one text are joined once and expanded at the end, so a group of copies costs one record.
@@ -25,19 +25,23 @@ from veriscope.plans.shared import Workspace
 
 THRESHOLD = 0.7
 GRAM = 3
-#: Minwise tokens of a claim; two bits of each make its sketch.
-TOKENS = 64
+#: Minwise tokens of a claim.
+TOKENS = 48
 TREES = 3
 #: Children that a node selects, level by level from the root.
 BRANCHES = (2, 2, 2, 1, 1)
 #: A larger leaf branches on, with so many children at each further level.
 LEAF, MORE_BRANCHES, DEEPEST = 3000, 2, 16
-#: Standard deviations of the sketch's estimate that a pair may lie below the threshold and still be measured.
-SLACK = 2.3
+#: Bits of a claim's sketch: the parities of its tokens hashed to so many places.
+SKETCH = 128
+#: Standard deviations that the sketches of a pair may differ more than at the threshold and still be measured.
+SLACK = 2.5
 #: Bytes of records aimed at in one group of leaves.
 GROUP_BYTES = 12_000_000
-#: Bytes of one packed record: leaf, representative, sketch.
-_REC = np.dtype([("leaf", "<u4"), ("rep", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+#: Rows whose tokens are hashed at a time, and records compared at a time (both fit in a core's cache).
+ROWS_AT_ONCE, RECORDS_AT_ONCE = 1000, 20_000
+#: One packed record: leaf, representative, sketch, number of tokens.
+_REC = np.dtype([("leaf", "<u4"), ("rep", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<u2")])
 
 
 def normal_claim(c: Column) -> Column:
@@ -58,28 +62,40 @@ def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate(([0], np.cumsum(lengths)))
 
 
-def _minwise(column: pa.Array) -> np.ndarray:
-    """Minwise tokens, ``rows x TOKENS`` of 32 bits; rows have at least one gram."""
+def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits) of the distinct grams of all rows, and row offsets; rows have at least one gram."""
     points, rows = _points(column)
     p = points.astype(np.uint64)
-    gram = _mix((p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]).astype(np.uint32)
+    gram = _mix((p[:-2] << np.uint64(42)) | (p[1:-1] << np.uint64(21)) | p[2:]) >> np.uint64(32)
     inner = np.ones(len(points), bool)
     for k in range(1, GRAM):
         inner[rows[1:] - k] = False
-    gram = gram[inner[: len(gram)]]
-    starts = rows[:-1] - np.arange(len(rows) - 1) * (GRAM - 1)
-    seeds = _mix(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64)).astype(np.uint32)
-    out = np.empty((len(starts), TOKENS), np.uint32)
-    for t in range(TOKENS):
-        x = (gram ^ seeds[2 * t]) * (seeds[2 * t + 1] | np.uint32(1))
-        out[:, t] = np.minimum.reduceat(x ^ (x >> np.uint32(15)), starts)
-    return out
+    lengths = np.diff(rows) - (GRAM - 1)
+    keyed = (np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths) << np.uint64(32)) | gram[inner[: len(gram)]]
+    keyed.sort()
+    keyed = keyed[np.concatenate(([True], keyed[1:] != keyed[:-1]))]
+    starts = np.searchsorted(keyed, np.arange(len(lengths) + 1, dtype=np.uint64) << np.uint64(32))
+    return keyed.astype(np.uint32), starts
 
 
-def _sketch(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    two = (_mix(tokens.astype(np.uint64)) & np.uint64(3)).astype(np.uint64)
-    shift = np.arange(0, 64, 2, dtype=np.uint64)
-    return (two[:, :32] << shift).sum(1, dtype=np.uint64), (two[:, 32:] << shift).sum(1, dtype=np.uint64)
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minwise tokens (``rows x TOKENS``), both halves of the sketch, and numbers of grams."""
+    seeds = _mix(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64)).astype(np.uint32)
+    n = len(column)
+    out, s0, s1, size = np.empty((n, TOKENS), np.uint32), np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.int64)
+    for at in range(0, n, ROWS_AT_ONCE):
+        gram, starts = _grams(column.slice(at, ROWS_AT_ONCE))
+        to, begin = slice(at, at + len(starts) - 1), starts[:-1]
+        for t in range(TOKENS):
+            x = (gram ^ seeds[2 * t]) * (seeds[2 * t + 1] | np.uint32(1))
+            x ^= x >> np.uint32(15)
+            out[to, t] = np.minimum.reduceat(x, begin)
+        place = (_mix(gram.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH)).astype(np.uint64)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        s0[to] = np.bitwise_xor.reduceat(np.where(place < 64, bit, np.uint64(0)), begin)
+        s1[to] = np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), bit), begin)
+        size[to] = np.diff(starts)
+    return out, s0, s1, size
 
 
 def _children(node: np.ndarray, rows: np.ndarray, tokens: np.ndarray, child: int) -> np.ndarray:
@@ -100,16 +116,17 @@ def _leaves(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(all_rows), np.concatenate(all_nodes)
 
 
-def _pack(rows: np.ndarray, node: np.ndarray, rep: np.ndarray, tokens: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+def _pack(rows: np.ndarray, node: np.ndarray, rep: np.ndarray, sketch: tuple[np.ndarray, np.ndarray, np.ndarray], groups: int) -> Iterator[tuple[int, bytes]]:
     """Records of each group of leaves, byte planes apart and compressed."""
     import zstandard
 
-    s0, s1 = _sketch(tokens)
+    s0, s1, size = sketch
     group = (node % np.uint64(groups)).astype(np.int64)
     leaf = (node >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((leaf, group))
     rec = np.empty(len(rows), _REC)
-    rec["leaf"], rec["rep"], rec["s0"], rec["s1"] = leaf[order], rep[rows[order]], s0[rows[order]], s1[rows[order]]
+    own = rows[order]
+    rec["leaf"], rec["rep"], rec["s0"], rec["s1"], rec["n"] = leaf[order], rep[own], s0[own], s1[own], np.minimum(size[own], 65535)
     ids, at = np.unique(group[order], return_index=True)
     press = zstandard.ZstdCompressor(level=1)
     for g, a, b in zip(ids.tolist(), at.tolist(), [*at[1:].tolist(), len(rec)]):
@@ -129,8 +146,8 @@ def _spread(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # batches are gathered, so that a group's records of a task are few blobs
         for rep, text, _ in _gather(batches, 40_000):
-            tokens = _minwise(text)
-            got = list(_pack(*_leaves(tokens), rep, tokens, groups))
+            tokens, *sketch = _tokens(text)
+            got = list(_pack(*_leaves(tokens), rep, sketch, groups))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
 
     return run
@@ -149,40 +166,52 @@ def _gather(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.n
         yield t["rep"].to_numpy(), t["t"].chunk(0), t
 
 
-def _agreement(threshold: float) -> int:
-    """Least number of agreeing two-bit tokens for a pair to be measured."""
-    p = threshold + (1 - threshold) / 4
-    return int(np.ceil(TOKENS * p - SLACK * np.sqrt(TOKENS * p * (1 - p))))
+def _most_apart(threshold: float) -> np.ndarray:
+    """By the sum of two numbers of grams, how many bits of their sketches may differ for the pair to be measured.
+
+    At similarity J the sets differ in (1-J)/(1+J) of the sum of their sizes; these grams, thrown at the places of the
+    sketch, leave an odd number in so many of them on average.
+    """
+    apart = np.arange(2 * 65535 + 1) * (1 - threshold) / (1 + threshold)
+    return SKETCH / 2 * (1 - np.exp(-2 * apart / SKETCH)) + SLACK * np.sqrt(SKETCH / 4 * (1 - np.exp(-4 * apart / SKETCH)))
 
 
-def _compare(rec: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of representatives that share a leaf and whose sketches agree enough. ``rec`` is sorted by leaf."""
-    low, most = np.uint64(0x5555555555555555), TOKENS - least
+def _compare(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of representatives that share a leaf and whose sketches differ little. ``rec`` is sorted by leaf."""
     found: list[np.ndarray] = []
-    i = np.arange(len(rec) - 1)
-    leaf, rep, s0, s1 = (np.ascontiguousarray(rec[f]) for f in ("leaf", "rep", "s0", "s1"))
-    d = 0
-    while len(i):
-        d += 1
-        i = i[i + d < len(rec)]
-        i = i[leaf[i + d] == leaf[i]]
-        x, y = s0[i] ^ s0[i + d], s1[i] ^ s1[i + d]
-        off = np.bitwise_count((x | (x >> np.uint64(1))) & low) + np.bitwise_count((y | (y >> np.uint64(1))) & low)
-        k = i[off <= most]
-        if len(k):
-            found.append(np.stack([np.minimum(rep[k], rep[k + d]), np.maximum(rep[k], rep[k + d])]))
+    bound = _most_apart(threshold)
+    starts = np.flatnonzero(np.concatenate(([True], rec["leaf"][1:] != rec["leaf"][:-1]))) if len(rec) else np.zeros(0, np.int64)
+    cuts = [*starts[np.unique(np.searchsorted(starts, np.arange(0, len(rec), RECORDS_AT_ONCE)).clip(max=max(0, len(starts) - 1)))].tolist(), len(rec)] if len(rec) else []
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = rec[lo:hi]
+        leaf, rep, s0, s1, n = (np.ascontiguousarray(part[f]) for f in ("leaf", "rep", "s0", "s1", "n"))
+        n = n.astype(np.int64)
+        i = np.arange(len(part) - 1)
+        d = 0
+        while len(i):
+            d += 1
+            i = i[i + d < len(part)]
+            j = i + d
+            same = leaf[j] == leaf[i]
+            i, j = i[same], j[same]
+            near = np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) <= bound[n[i] + n[j]]
+            a, b = i[near], j[near]
+            if len(a):
+                most = np.maximum(n[a], n[b])
+                fits = (np.minimum(n[a], n[b]) >= threshold * most - 1e-9) | (most == 65535)
+                a, b = a[fits], b[fits]
+                found.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pairs = np.concatenate(found, axis=1)
     pairs = pairs[:, pairs[0] != pairs[1]]
-    order = np.lexsort(pairs[::-1])
-    pairs = pairs[:, order]
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
     keep = np.ones(pairs.shape[1], bool)
     keep[1:] = (np.diff(pairs, axis=1) != 0).any(axis=0)
     return pairs[0, keep], pairs[1, keep]
 
 
-def _leaf_join(least: int, last: bool):
+def _leaf_join(threshold: float, last: bool):
     """Pairs ``a, b`` of small leaves (``open`` 0); claims ``a`` of larger leaves, which branch on from node ``b``."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -191,7 +220,7 @@ def _leaf_join(least: int, last: bool):
         wide = np.repeat(size > LEAF, size)
         if last:
             wide[:] = False
-        a, b = _compare(rec[~wide], least)
+        a, b = _compare(rec[~wide], threshold)
         g = np.int64(table["g"][0].as_py())
         oa, ob = rec["rep"][wide], (rec["leaf"][wide].astype(np.int64) << 20) | g
         return pa.table({"a": np.concatenate([a, oa]), "b": np.concatenate([b, ob]), "open": np.concatenate([np.zeros(len(a), np.int8), np.ones(len(oa), np.int8)])})
@@ -202,11 +231,11 @@ def _leaf_join(least: int, last: bool):
 def _branch_on(groups: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rep, text, table in _gather(batches, 40_000):
-            tokens = _minwise(text)
+            tokens, *sketch = _tokens(text)
             node = _mix(table["b"].to_numpy().astype(np.uint64) + np.uint64(level))
             rows = np.arange(len(rep))
             nodes = np.concatenate([_children(node, rows, tokens, c) for c in range(MORE_BRANCHES)])
-            got = list(_pack(np.tile(rows, MORE_BRANCHES), nodes, rep, tokens, groups))
+            got = list(_pack(np.tile(rows, MORE_BRANCHES), nodes, rep, sketch, groups))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
 
     return run
@@ -247,11 +276,10 @@ def similar_representatives(reps: DataFrame, work: Workspace, threshold: float =
     """``a, b`` (``a < b``) of the distinct texts that are alike to at least ``threshold``."""
     paths = TREES * int(np.prod(BRANCHES))
     groups = max(12, -(-reps.count() * paths * _REC.itemsize // GROUP_BYTES))
-    least = _agreement(threshold)
     blobs = reps.mapInArrow(_spread(groups), "g int, blob binary")
     kept: list[DataFrame] = []
     for level in range(len(BRANCHES), DEEPEST + 1):
-        got = work.save(blobs.groupBy("g").applyInArrow(_leaf_join(least, level == DEEPEST), "a bigint, b bigint, open tinyint"), "leaves")
+        got = work.save(blobs.groupBy("g").applyInArrow(_leaf_join(threshold, level == DEEPEST), "a bigint, b bigint, open tinyint"), "leaves")
         kept.append(got.filter("open = 0").select("a", "b"))
         wide = got.filter("open = 1").select(F.col("a").alias("rep"), "b")
         n = wide.count()
