@@ -5,7 +5,7 @@ selects a few of the claim's minwise tokens (by a hash of the node, so that all
 each the claim goes on to the child named by the token. Two claims of similarity J take such a step together with
 probability J, so similar ones meet in a leaf and others part. Paths depend on the claim alone and are computed without
 a shuffle; what is shuffled is one packed record for each leaf a claim reaches. Leaves with few claims are compared
-exhaustively, on sketches of 128 parities; leaves with more claims branch on, level by level, until they are small. Independent
+exhaustively, on sketches of 192 parities; leaves with more claims branch on, level by level, until they are small. Independent
 trees repeat this until the recall asked for. Surviving pairs are then measured exactly on the texts.
 
 Repeats of one text are joined once and expanded at the end, so a group of copies costs one record.
@@ -29,19 +29,21 @@ GRAM = 3
 TOKENS = 48
 TREES = 3
 #: Children that a node selects, level by level from the root.
-BRANCHES = (2, 2, 2, 1, 1)
+BRANCHES = (3, 2, 1, 1)
 #: A larger leaf branches on, with so many children at each further level.
 LEAF, MORE_BRANCHES, DEEPEST = 3000, 2, 16
 #: Bits of a claim's sketch: the parities of its tokens hashed to so many places.
-SKETCH = 128
+SKETCH = 192
 #: Standard deviations that the sketches of a pair may differ more than at the threshold and still be measured.
-SLACK = 2.5
+SLACK = 1.8
 #: Bytes of records aimed at in one group of leaves.
 GROUP_BYTES = 12_000_000
 #: Rows whose tokens are hashed at a time, and records compared at a time (both fit in a core's cache).
 ROWS_AT_ONCE, RECORDS_AT_ONCE = 1000, 20_000
+#: Leaves up to this size are compared together; rows of larger ones compared at a time.
+SMALL, BLOCK = 16, 64
 #: One packed record: leaf, representative, sketch, number of tokens.
-_REC = np.dtype([("leaf", "<u4"), ("rep", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "<u2")])
+_REC = np.dtype([("leaf", "<u4"), ("rep", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u8"), ("n", "<u2")])
 
 
 def normal_claim(c: Column) -> Column:
@@ -78,11 +80,11 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keyed.astype(np.uint32), starts
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minwise tokens (``rows x TOKENS``), both halves of the sketch, and numbers of grams."""
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minwise tokens (``rows x TOKENS``), sketch (words x rows), and numbers of grams."""
     seeds = _mix(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64)).astype(np.uint32)
     n = len(column)
-    out, s0, s1, size = np.empty((n, TOKENS), np.uint32), np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.int64)
+    out, sketch, size = np.empty((n, TOKENS), np.uint32), np.empty((SKETCH // 64, n), np.uint64), np.empty(n, np.int64)
     for at in range(0, n, ROWS_AT_ONCE):
         gram, starts = _grams(column.slice(at, ROWS_AT_ONCE))
         to, begin = slice(at, at + len(starts) - 1), starts[:-1]
@@ -92,10 +94,10 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             out[to, t] = np.minimum.reduceat(x, begin)
         place = (_mix(gram.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH)).astype(np.uint64)
         bit = np.uint64(1) << (place & np.uint64(63))
-        s0[to] = np.bitwise_xor.reduceat(np.where(place < 64, bit, np.uint64(0)), begin)
-        s1[to] = np.bitwise_xor.reduceat(np.where(place < 64, np.uint64(0), bit), begin)
+        for w in range(SKETCH // 64):
+            sketch[w, to] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == w, bit, np.uint64(0)), begin)
         size[to] = np.diff(starts)
-    return out, s0, s1, size
+    return out, sketch, size
 
 
 def _children(node: np.ndarray, rows: np.ndarray, tokens: np.ndarray, child: int) -> np.ndarray:
@@ -116,17 +118,18 @@ def _leaves(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(all_rows), np.concatenate(all_nodes)
 
 
-def _pack(rows: np.ndarray, node: np.ndarray, rep: np.ndarray, sketch: tuple[np.ndarray, np.ndarray, np.ndarray], groups: int) -> Iterator[tuple[int, bytes]]:
+def _pack(rows: np.ndarray, node: np.ndarray, rep: np.ndarray, sketch: np.ndarray, size: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
     """Records of each group of leaves, byte planes apart and compressed."""
     import zstandard
 
-    s0, s1, size = sketch
     group = (node % np.uint64(groups)).astype(np.int64)
     leaf = (node >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((leaf, group))
     rec = np.empty(len(rows), _REC)
     own = rows[order]
-    rec["leaf"], rec["rep"], rec["s0"], rec["s1"], rec["n"] = leaf[order], rep[own], s0[own], s1[own], np.minimum(size[own], 65535)
+    rec["leaf"], rec["rep"], rec["n"] = leaf[order], rep[own], np.minimum(size[own], 65535)
+    for w in range(SKETCH // 64):
+        rec[f"s{w}"] = sketch[w, own]
     ids, at = np.unique(group[order], return_index=True)
     press = zstandard.ZstdCompressor(level=1)
     for g, a, b in zip(ids.tolist(), at.tolist(), [*at[1:].tolist(), len(rec)]):
@@ -146,8 +149,8 @@ def _spread(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # batches are gathered, so that a group's records of a task are few blobs
         for rep, text, _ in _gather(batches, 40_000):
-            tokens, *sketch = _tokens(text)
-            got = list(_pack(*_leaves(tokens), rep, sketch, groups))
+            tokens, sketch, size = _tokens(text)
+            got = list(_pack(*_leaves(tokens), rep, sketch, size, groups))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
 
     return run
@@ -176,35 +179,56 @@ def _most_apart(threshold: float) -> np.ndarray:
     return SKETCH / 2 * (1 - np.exp(-2 * apart / SKETCH)) + SLACK * np.sqrt(SKETCH / 4 * (1 - np.exp(-4 * apart / SKETCH)))
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches (words first) differ."""
+    off = np.bitwise_count(x[0] ^ y[0])
+    for w in range(1, len(x)):
+        off += np.bitwise_count(x[w] ^ y[w])
+    return off
+
+
 def _compare(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of representatives that share a leaf and whose sketches differ little. ``rec`` is sorted by leaf."""
-    found: list[np.ndarray] = []
-    bound = _most_apart(threshold)
-    starts = np.flatnonzero(np.concatenate(([True], rec["leaf"][1:] != rec["leaf"][:-1]))) if len(rec) else np.zeros(0, np.int64)
-    cuts = [*starts[np.unique(np.searchsorted(starts, np.arange(0, len(rec), RECORDS_AT_ONCE)).clip(max=max(0, len(starts) - 1)))].tolist(), len(rec)] if len(rec) else []
-    for lo, hi in zip(cuts, cuts[1:]):
-        part = rec[lo:hi]
-        leaf, rep, s0, s1, n = (np.ascontiguousarray(part[f]) for f in ("leaf", "rep", "s0", "s1", "n"))
-        n = n.astype(np.int64)
-        i = np.arange(len(part) - 1)
-        d = 0
-        while len(i):
-            d += 1
-            i = i[i + d < len(part)]
-            j = i + d
-            same = leaf[j] == leaf[i]
-            i, j = i[same], j[same]
-            near = np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) <= bound[n[i] + n[j]]
-            a, b = i[near], j[near]
-            if len(a):
-                most = np.maximum(n[a], n[b])
-                fits = (np.minimum(n[a], n[b]) >= threshold * most - 1e-9) | (most == 65535)
-                a, b = a[fits], b[fits]
-                found.append(np.stack([np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])]))
-    if not found:
+    """Pairs of representatives that share a leaf and whose sketches differ little. ``rec`` is sorted by leaf and size.
+
+    In a leaf of any size each claim is compared with all others whose size allows the similarity. Small leaves are
+    taken together, by distance in the sorted records; larger ones block by block.
+    """
+    if not len(rec):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.concatenate(found, axis=1)
-    pairs = pairs[:, pairs[0] != pairs[1]]
+    bound = _most_apart(threshold)
+    leaf, rep, n = np.ascontiguousarray(rec["leaf"]), np.ascontiguousarray(rec["rep"]), rec["n"].astype(np.int64)
+    sketch = np.stack([np.ascontiguousarray(rec[f"s{w}"]) for w in range(SKETCH // 64)])
+    starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(rec)])))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
+    for at in range(0, len(small), RECORDS_AT_ONCE):
+        own = small[at : at + RECORDS_AT_ONCE]
+        for d in range(1, SMALL):
+            own = own[own + d < len(rec)]
+            own = own[leaf[own + d] == leaf[own]]
+            if not len(own):
+                break
+            far = own + d
+            near = _near(sketch[:, own], sketch[:, far]) <= bound[n[own] + n[far]]
+            found.append((own[near], far[near]))
+    for lo, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        size = n[lo : lo + m]
+        for at in range(0, m, BLOCK):
+            to = min(m, at + BLOCK)
+            reach = int(np.searchsorted(size, size[to - 1] / threshold + 1e-9, "right")) if size[to - 1] < 65535 else m
+            off = _near(sketch[:, lo + at : lo + to, None], sketch[:, None, lo + at : lo + reach])
+            i, j = np.nonzero(off <= bound[size[to - 1] + size[reach - 1]])
+            later = j > i
+            i, j = i[later], j[later]
+            near = off[i, j] <= bound[size[at + i] + size[at + j]]
+            found.append((lo + at + i[near], lo + at + j[near]))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    most = np.maximum(n[a], n[b])
+    fits = ((np.minimum(n[a], n[b]) >= threshold * most - 1e-9) | (most == 65535)) & (rep[a] != rep[b])
+    a, b = rep[a[fits]], rep[b[fits]]
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])
     pairs = pairs[:, np.lexsort(pairs[::-1])]
     keep = np.ones(pairs.shape[1], bool)
     keep[1:] = (np.diff(pairs, axis=1) != 0).any(axis=0)
@@ -215,7 +239,7 @@ def _leaf_join(threshold: float, last: bool):
     """Pairs ``a, b`` of small leaves (``open`` 0); claims ``a`` of larger leaves, which branch on from node ``b``."""
 
     def run(table: pa.Table) -> pa.Table:
-        rec = np.sort(_unpack(table["blob"].to_pylist()), order=["leaf", "rep"])
+        rec = np.sort(_unpack(table["blob"].to_pylist()), order=["leaf", "n", "rep"])
         size = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], rec["leaf"][1:] != rec["leaf"][:-1]))), [len(rec)])))
         wide = np.repeat(size > LEAF, size)
         if last:
@@ -231,11 +255,11 @@ def _leaf_join(threshold: float, last: bool):
 def _branch_on(groups: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rep, text, table in _gather(batches, 40_000):
-            tokens, *sketch = _tokens(text)
+            tokens, sketch, size = _tokens(text)
             node = _mix(table["b"].to_numpy().astype(np.uint64) + np.uint64(level))
             rows = np.arange(len(rep))
             nodes = np.concatenate([_children(node, rows, tokens, c) for c in range(MORE_BRANCHES)])
-            got = list(_pack(np.tile(rows, MORE_BRANCHES), nodes, rep, sketch, groups))
+            got = list(_pack(np.tile(rows, MORE_BRANCHES), nodes, rep, sketch, size, groups))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
 
     return run
