@@ -273,7 +273,7 @@ def _measure(threshold: float):
             def grams(s: str) -> frozenset[str]:
                 g = known.get(s)
                 if g is None:
-                    g = known[s] = frozenset(map("".join, zip(s, s[1:], s[2:])))
+                    g = known[s] = frozenset([s[i : i + GRAM] for i in range(len(s) - GRAM + 1)])
                 return g
 
             keep = []
