@@ -33,9 +33,10 @@ OPEN = {"«": "»", "„": "“”", "“": "”", "「": "」", "『": "』", "
 QUOTES = regex.compile('["«»„“”「」『』]')
 #: Scripts whose sentences carry no mark (a blank may end one).
 UNMARKED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+BRACKETS = regex.compile(r"\([^()\n]{1,200}\)|（[^（）\n]{1,200}）")
 GREEK = regex.compile(r"\p{Greek}{3}")
 TOKEN = regex.compile(r"[^\s(\[{\"«„“「]*$")
-EDGE = regex.compile(r"\S(?:.*\S)?", regex.S)
+SHORT = regex.compile(r"(?:^|[\s(.])\p{L}{1,3}$")
 
 
 def quotations(p: str) -> list[tuple[int, int]]:
@@ -61,6 +62,7 @@ def candidates(p: str) -> list[tuple[int, int, int]]:
     """
     quoted = quotations(p) if QUOTES.search(p) else []
     closing = {b for _, b in quoted}
+    quoted += [m.span() for m in BRACKETS.finditer(p)]
     out = []
     greek = None
     n = len(p)
@@ -72,13 +74,14 @@ def candidates(p: str) -> list[tuple[int, int, int]]:
                 continue
         i, e = m.start(), m.end()
         while e < n:
-            if e in closing or p[e] in ")]’』」":
+            if e in closing or p[e] in ")]’』」）":
                 e += 1
             elif p[e] in "   " and e + 1 in closing and p[e + 1] == "»":
                 e += 2
             else:
                 break
-        if e < n and not any(a < i and e <= b for a, b in quoted):
+        # within a quotation or brackets nothing ends, nor where another mark follows the closing one
+        if e < n and p[e] not in ".!?。！？।؟" and not any(a < i and e <= b for a, b in quoted):
             out.append((i, e, 0))
     if UNMARKED.search(p):
         for m in regex.finditer(r"\s+", p):
@@ -124,6 +127,8 @@ def features(p: str, cand: tuple[int, int, int]) -> list[str]:
     last = last if (word.isdigit() or len(word) <= 2) and not measure else ""
     n2 = nxt + second
     f = ["m" + mark, "m" + mark + gap, "m" + mark + gap + nxt, "n" + n2 + gap, "w" + word, "w" + word + ">" + nxt, "c" + closed + ">" + nxt, "k" + before + mark + gap + nxt, "l" + str(min(9, len(token)))]
+    if len(token) == 1 and token.isupper():
+        f.append("initial")
     if measure:  # a unit behind a number
         f += ["u" + mark, "u" + mark + nxt]
     if last:
@@ -145,7 +150,7 @@ def _link(prev_end: int, here: int) -> str:
 #: Weights before training: what a sentence mark means where the sample says nothing.
 PRIOR = {"n" + a + b + g: 2.0 for a in "Xctk" for b in ("x", "X", " ", ".", "c", "k", "t", "9", "") for g in ("one", "wide")} | {
     "m。": 3.0, "m！": 3.0, "m？": 3.0, "m।": 3.0, "m؟": 3.0, "m!": 1.5, "m?": 1.5, "m.nonex": -3.0, "m.none9": -3.0, "m.onex": -2.0, "m!onex": -2.0, "m?onex": -2.0, "m.none,": -4.0,
-    "b": 1.0, "bt>": 0.0, "c」>k": -6.0, "m.wide": 2.0, "m….onex": -2.0, "m.one9": -0.5,
+    "initial": -3.0, "b": 1.0, "c」>k": -6.0, "m.wide": 2.0, "m….onex": -2.0, "m.one9": -0.5,
 }
 
 
@@ -235,7 +240,8 @@ def train(answers: list[list[str]], seed: int = 7) -> Model:
     model = Model(dict(PRIOR))
     for turn in range(2):
         if turn:
-            data = [(t, c, f, [a or b for a, b in zip(y, model.tags(t, c, f))]) for t, c, f, y in data]
+            # a short word before a mark may be an abbreviation and keeps its label
+            data = [(t, c, f, [a or (b and (k[2] == 1 or "u" + t[k[0]] in g or not SHORT.search(t, max(0, k[0] - 8), k[0]))) for a, b, k, g in zip(y, model.tags(t, c, f), c, f)]) for t, c, f, y in data]
         model = _fit(data, rng)
     return model
 
