@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veriscope.operators.evaluate import best_threshold, grid, measures, resample_weights, scan
 from veriscope.operators.features import logistic
+from veriscope.plans.shared import Workspace
 
 PREDICTORS = ("exact", "fuzzy", "bm25_recall", "semantic", "voters", "lexical_cosupport", "entity_absent", "nli_entail", "nli_contra")
 # Mean and standard deviation of the prior of the intercept and of each predictor.
@@ -62,7 +63,8 @@ def fit(df: DataFrame, features: list[str], label: str, prior: dict[str, tuple[f
     beta = mu.copy()
     w = F.col(weight) if weight else F.lit(1.0)
     y = F.col(label).cast("double")
-    rows = df.filter(F.col(label).isNotNull())
+    kept = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features] + [F.col(label)] + ([F.col(weight)] if weight else [])
+    rows = Workspace(df.sparkSession, "fit").save(df.filter(F.col(label).isNotNull()).select(*kept), "rows")
     for _ in range(rounds):
         p = logistic(float(beta[0]), dict(zip(features, map(float, beta[1:]))))
         g = [F.sum(w * (y - p) * c) for c in x]
@@ -90,8 +92,8 @@ def fit_balanced(df: DataFrame, features: list[str], label: str) -> Head:
     """Class-balanced fit, its threshold the best macro-F1 of 13 between .2 and .8."""
     rows = resample_weights(df, label)
     head = fit(rows, features, label, weight="weight")
-    scored = df.withColumn("_p", head.probability())
-    best = best_threshold(scan(scored, [], "_p", label, grid(0.2, 0.8, 13)), []).first()
+    scored = df.withColumn("_score", head.probability())
+    best = best_threshold(scan(scored, [], "_score", label, grid(0.2, 0.8, 13)), []).first()
     head.threshold = best["threshold"]
     return head
 

@@ -71,7 +71,9 @@ def scan(df: DataFrame, keys: list[str], score: str, label: str, thresholds: Col
     over that histogram, so the rows are never multiplied by the grid.
     """
     level = F.size(F.filter(F.col("_g"), lambda t: t <= F.col(score)))
-    counted = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("_g", thresholds).groupBy(*keys, level.alias("_l")).agg(_n(F.col(label) == 1).alias("_p"), _n(F.col(label) == 0).alias("_q"))
+    # first by distinct score: the score is computed once and the grid meets far fewer rows
+    by_score = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(_n(F.col(label) == 1).alias("_p"), _n(F.col(label) == 0).alias("_q"))
+    counted = by_score.withColumn("_g", thresholds).groupBy(*keys, level.alias("_l")).agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     spread = counted.groupBy(*keys).agg(F.collect_list(F.struct("_l", "_p", "_q")).alias("_h")).withColumn("_g", thresholds)
     spread = spread.select(*keys, "_h", F.posexplode("_g").alias("_i", "threshold"))
 

@@ -12,6 +12,7 @@ from veriscope.functions import entities as E
 from veriscope.functions import kernels as K
 from veriscope.functions import text as T
 from veriscope.operators import bm25, segment
+from veriscope.plans.shared import Workspace
 
 LOW = ("r1_direct", "charng", "fuzzy", "anchor", "anchor_mm", "oracle", "top3", "specificity", "conflict_n", "conflict_flag", "num_edit_mag", "unmatched_rarity", "max_unmatched")
 MEDIUM = (*LOW, "is_en", "same_lang", "wn_antonym_flip")
@@ -105,24 +106,27 @@ def low_tier(records: DataFrame, background: DataFrame, key: str = "row_id", cla
     """
     rec = records.select(key, F.col(claim).alias("_claim"), F.coalesce(F.col(source), F.lit("")).alias("_src")).withColumn("_doc", F.md5("_src"))
     docs = rec.select("_doc", "_src").dropDuplicates(["_doc"])
-    chunks = segment.view_chunks(docs, ["_doc"], "_src")
+    work = Workspace(records.sparkSession, "features")  # what several branches read is written once
+    chunks = work.save(segment.view_chunks(docs, ["_doc"], "_src"), "chunks")
     asked = rec.select(key, "_doc", "_claim")
-    word_posts = bm25.postings(chunks, "_doc", "chunk_no")
+    background = work.save(background, "background")
+    word_posts = work.save(bm25.postings(chunks, "_doc", "chunk_no"), "postings")
     terms, corpora = bm25.statistics(word_posts, "_doc", "chunk_no")
-    recall = bm25.recalls(asked, word_posts, terms, corpora, key, "_doc", "chunk_no", "_claim", background=background)
+    terms, corpora = work.save(terms, "terms"), work.save(corpora, "corpora")
+    recall = work.save(bm25.recalls(asked, word_posts, terms, corpora, key, "_doc", "chunk_no", "_claim", background=background), "recall")
     score = bm25.scores(asked, word_posts, terms, corpora, key, "_doc", "chunk_no", "_claim")
     best = score.filter("score > 0").groupBy(key, "_doc").agg(F.min_by("chunk_no", F.struct(-F.col("score"), F.col("chunk_no"))).alias("chunk_no"))
     best = asked.select(key, "_doc").join(best, [key, "_doc"], "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))
     r1 = best.join(recall, [key, "_doc", "chunk_no"], "left").select(key, F.coalesce("recall", F.lit(0.0)).alias("r1_direct"))
     top = bm25.rank_recalls(recall, key, "chunk_no").select(key, "oracle", F.col("second").alias("top3"))
     grams = lambda x: T.char_ngrams(x)
-    gp = bm25.postings(chunks, "_doc", "chunk_no", analyzer=grams)
-    gt, gc = bm25.statistics(gp, "_doc", "chunk_no")
+    gp = work.save(bm25.postings(chunks, "_doc", "chunk_no", analyzer=grams), "grams")
+    gt, gc = (work.save(x, "gram-terms") for x in bm25.statistics(gp, "_doc", "chunk_no"))
     gs = bm25.scores(asked, gp, gt, gc, key, "_doc", "chunk_no", "_claim", grams).filter("score > 0")
     gbest = gs.groupBy(key, "_doc").agg(F.min_by("chunk_no", F.struct(-F.col("score"), F.col("chunk_no"))).alias("chunk_no"))
     gbest = asked.select(key, "_doc").join(gbest, [key, "_doc"], "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))
     charng = gbest.join(bm25.recalls(asked, gp, gt, gc, key, "_doc", "chunk_no", "_claim", grams), [key, "_doc", "chunk_no"], "left").select(key, F.coalesce("recall", F.lit(0.0)).alias("charng"))
     texts = best.join(chunks.select("_doc", "chunk_no", F.col("text").alias("_best")), ["_doc", "chunk_no"], "left").select(key, "_best")
-    pairs = rec.join(texts, key)
+    pairs = work.save(rec.join(texts, key), "pairs")
     out = pair_features(pairs, key, "_claim", "_src", "_best").join(gap_rarity(pairs, background, key, "_claim", "_best"), key).join(r1, key).join(charng, key).join(top, key, "left").fillna(0.0, ["oracle", "top3"])
     return out.select(key, *LOW)
