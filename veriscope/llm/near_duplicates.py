@@ -265,24 +265,42 @@ def _branch_on(groups: int, level: int):
     return run
 
 
+def _set(s: str) -> set[str]:
+    return {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
+
+
+def _alike(ta: pa.Array, tb: pa.Array, threshold: float) -> np.ndarray:
+    """Which pairs of texts are alike; exact.
+
+    Common grams are counted on their hashes by merging the sorted hashes of both sides; where the count is so near to
+    what is needed that a few equal hashes of different grams could matter, the grams themselves are compared.
+    """
+    keyed, sizes = [], []
+    for side in (ta, tb):
+        gram, starts = _grams(side)
+        sizes.append(np.diff(starts))
+        keyed.append((np.repeat(np.arange(len(side), dtype=np.uint64), sizes[-1]) << np.uint64(32)) | gram)
+    both = np.concatenate(keyed)
+    both.sort(kind="stable")  # two sorted runs
+    twice = both[1:][both[1:] == both[:-1]] >> np.uint64(32)
+    common = np.bincount(twice.astype(np.int64), minlength=len(ta))
+    # |A & B| >= t (|A| + |B| - |A & B|)
+    need = threshold * (sizes[0] + sizes[1]) / (1 + threshold)
+    keep = common >= need
+    for i in np.flatnonzero(np.abs(common - need) <= 3).tolist():
+        p, q = _set(ta[i].as_py()), _set(tb[i].as_py())
+        n = len(p & q)
+        keep[i] = n >= threshold * (len(p) + len(q) - n) - 1e-9
+    return keep
+
+
 def _measure(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known: dict[str, frozenset[str]] = {}
-
-            def grams(s: str) -> frozenset[str]:
-                g = known.get(s)
-                if g is None:
-                    g = known[s] = frozenset([s[i : i + GRAM] for i in range(len(s) - GRAM + 1)])
-                return g
-
-            keep = []
-            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist()):
-                p, q = grams(x), grams(y)
-                common = len(p & q)
-                keep.append(common >= threshold * (len(p) + len(q) - common) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                b = whole.slice(at, ROWS_AT_ONCE)
+                mask = pa.array(_alike(b.column("ta"), b.column("tb"), threshold), pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
     return run
 
