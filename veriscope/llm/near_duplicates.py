@@ -321,7 +321,8 @@ def similar_representatives(reps: DataFrame, work: Workspace, threshold: float =
     blobs = reps.mapInArrow(_spread(groups), "g int, blob binary")
     kept: list[DataFrame] = []
     for level in range(len(BRANCHES), DEEPEST + 1):
-        got = work.save(blobs.groupBy("g").applyInArrow(_leaf_join(threshold, level == DEEPEST), "a bigint, b bigint, open tinyint"), "leaves")
+        # as many partitions as groups of leaves: what a task reads does not grow with the table
+        got = work.save(blobs.repartition(groups, "g").groupBy("g").applyInArrow(_leaf_join(threshold, level == DEEPEST), "a bigint, b bigint, open tinyint"), "leaves")
         kept.append(got.filter("open = 0").select("a", "b"))
         wide = got.filter("open = 1").select(F.col("a").alias("rep"), "b")
         n = wide.count()
