@@ -309,3 +309,29 @@ def test_hot_cluster_fills_containers(spark):
 def test_extra_columns_do_not_clash(spark):
     df = spark.createDataFrame([(1, "One text here", "s", 5, 6, 7)], "doc_id long, text string, source string, k int, t int, canonical int")
     assert C.canonical_text(df).count() == 1 and T.encode_documents(df).count() == 1 and B.fill_containers(df, spark).count() == 1
+
+
+# empty tables and rows with nothing in them, through the queries themselves
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_queries_on_empty_and_null_tables(spark, tmp_path, kind):
+    from veriscope.llm.queries import queries
+
+    types = {
+        "gold": "uid string, row_id long, role string, claim string, source_text string, label int, lang string, trace_id string, group_id string, parent_sid string, extra int",
+        "sources": "source_key string, group_id string, source_index int, text string",
+        "chunks": "chunk_id string, source_key string, text string",
+        "extracted_claims": "claim_key string, answer_id string, claim string",
+        "judgments": "judgment_id long, uid string, annotator_id string, label string, judged_at timestamp_ntz",
+        "documents": "doc_id long, text string, source string",
+    }
+    for name, schema in types.items():
+        rows = [] if kind == "empty" else [tuple([None] * len(schema.split(",")))] * 3
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.createDataFrame([("en", "eng", "English"), ("no", "nor", "Norwegian")], "code string, code3 string, name string").write.parquet(str(tmp_path / "languages.parquet"))
+    for name, q in queries().items():
+        rows = q(spark, str(tmp_path)).collect()
+        assert rows == [] or kind == "nulls", name
+        if name.endswith("_found"):
+            assert rows == [], name
