@@ -27,7 +27,7 @@ def usable(c: Column | str) -> Column:
 
 
 def _record_keys(gold: DataFrame) -> DataFrame:
-    bare = F.regexp_replace("source_text", r"(?U)\s+", "")
+    bare = F.regexp_replace("source_text", r"[\s\p{Z}\u001c-\u001f\u0085]+", "")
     tag = lambda name, c: F.when(c.isNotNull(), F.xxhash64(F.lit(name), c))
     own = usable("group_id")
     return gold.select(
@@ -37,7 +37,8 @@ def _record_keys(gold: DataFrame) -> DataFrame:
         tag("uid", usable("uid")).alias("u"),
         tag("uid", usable("parent_sid")).alias("p"),
         tag("group", own).alias("g"),
-        tag("text", F.when(F.length(bare) > 0, F.md5(bare))).alias("s"),
+        # whether there is text at all is told from its first character, so the text is gone through once
+        F.when(F.col("source_text").rlike(r"[^\s\p{Z}]"), F.xxhash64(F.lit("text"), F.md5(bare))).alias("s"),
         tag("trace", usable("trace_id")).alias("t"),
     ).withColumn("node", F.coalesce("g", "s", "t", "u", F.xxhash64(F.lit("row"), "row_id")))
 
