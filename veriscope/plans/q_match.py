@@ -185,6 +185,51 @@ def _(spark, sf):
     return out.select("q", "b", F.round("stage1", 6).alias("stage1"), F.round("stage2", 6).alias("stage2"))
 
 
+# The queries with _P50 give what their SQL asks for, the 50 nearest; these give the same measures over all pairs.
+_ALL = _TOP + ", p AS (SELECT q, b, score FROM s WHERE q <> b)"
+
+
+def _summaries(spark, sf):
+    q, e = _queries(spark, sf)
+    return vectors.summaries(q.withColumnRenamed("vec_id", "q"), e.withColumnRenamed("vec_id", "b"), "q", "b")
+
+
+@query("m14_all_pairs_threshold", _VEC + """, x AS (SELECT v, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM e WHERE v IS NOT NULL),
+ d AS (SELECT d, n, ('0x' || substr(md5(d || ':a'), 1, 8))::BIGINT % n AS i, ('0x' || substr(md5(d || ':b'), 1, 8))::BIGINT % n AS j FROM range(200) t(d), (SELECT max(n) AS n FROM x) WHERE d < n * (n - 1) / 2),
+ z AS (SELECT i, CASE WHEN i = j THEN (j + 1) % n ELSE j END AS j FROM d) SELECT round(least(1.0, greatest(0.65, quantile_cont(round(""" + _DOT + """, 9), 0.98))), 6) AS threshold, round(quantile_cont(round(""" + _DOT + """, 9), 0.98), 6) AS quantile FROM z JOIN x a ON a.pos = z.i JOIN x b ON b.pos = z.j""")
+def _(spark, sf):
+    s = vectors.sampled_pairs(table(spark, sf, "embeddings"), "vec_id")
+    both = vectors.percentile_threshold(s, "score").crossJoin(vectors.percentile_threshold(s, "score", floor=-1.0).withColumnRenamed("threshold", "quantile"))  # one row each
+    return both.select(F.round("threshold", 6).alias("threshold"), F.round("quantile", 6).alias("quantile"))
+
+
+@query("m22_all_pairs_early_exit_w6", _ALL + """, z AS (SELECT q, score, row_number() OVER (PARTITION BY q ORDER BY b) AS r FROM p), y AS (SELECT *, CASE WHEN r <= 1 THEN 0 WHEN r <= 2 THEN 1 WHEN r <= 4 THEN 2 WHEN r <= 8 THEN 3 ELSE 4 + (r - 9) // 4 END AS k FROM z),
+ m AS (SELECT *, max(score) OVER (PARTITION BY q ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM y) SELECT q, round(max(score), 6) AS best, count(*) AS scored FROM m WHERE before IS NULL OR before < 0.3 GROUP BY 1""")
+def _(spark, sf):
+    return _summaries(spark, sf).select("q", F.round("best", 6).alias("best"), "scored")
+
+
+@query("m25_all_pairs_running_max", _ALL + " SELECT q, k, round(max(score), 6) AS best FROM (SELECT q, b, score, row_number() OVER (PARTITION BY q ORDER BY b) AS r FROM p) JOIN (SELECT unnest([1, 3, 8]) AS k) ON r <= k GROUP BY 1, 2")
+def _(spark, sf):
+    k = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("best")) for k in (1, 3, 8)))).alias("x")
+    return _summaries(spark, sf).select("q", k).select("q", "x.k", F.round("x.best", 6).alias("best"))
+
+
+@query("m26_all_pairs_distribution_w13", _ALL + """, r AS (SELECT q, score, row_number() OVER (PARTITION BY q ORDER BY score DESC) AS r FROM p)
+ SELECT q, round(max(score), 5) AS top, round(avg(score) FILTER (WHERE r <= 2), 5) AS top2_mean, round(ln(sum(exp(score / 0.1))) * 0.1, 5) AS soft_max, round(ln(1 + count(*) FILTER (WHERE score >= 0.5)), 5) AS log_high, round(max(score) - coalesce(max(score) FILTER (WHERE r = 2), 0), 5) AS margin FROM r GROUP BY 1""")
+def _(spark, sf):
+    return _summaries(spark, sf).select("q", *(F.round(c, 5).alias(c) for c in ("top", "top2_mean", "soft_max", "log_high", "margin")))
+
+
+@query("m21_all_pairs_cascade_m19_m20", _ALL + " SELECT q, b, round(CASE WHEN score < 0.1 THEN score ELSE (score + 1) / 2 END, 6) AS stage1, round(CASE WHEN score >= 0.1 AND (score + 1) / 2 BETWEEN 0.6 AND 0.9 THEN score * score END, 6) AS stage2 FROM p")
+def _(spark, sf):
+    q, e = _queries(spark, sf)
+    p = vectors.all_pairs(q.withColumnRenamed("vec_id", "q"), e.withColumnRenamed("vec_id", "b"), "q", "b")
+    gate, band = F.col("score") >= 0.1, F.col("stage1").between(0.6, 0.9)
+    out = vectors.staged(p.withColumn("stage1", F.col("score")), gate, band, lambda d: d.withColumn("stage1", (F.col("score") + 1) / 2), lambda d: d.withColumn("stage2", F.col("score") * F.col("score")))
+    return out.select("q", "b", F.round("stage1", 6).alias("stage1"), F.round("stage2", 6).alias("stage2"))
+
+
 @query("m23_m24_pair_argmax", _P50 + " SELECT q, arg_max(b, struct_pack(s := score, n := -b)) AS b FROM p WHERE q <> b GROUP BY 1")
 def _(spark, sf):
     return _pairs(spark, sf).filter("q <> b").groupBy("q").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
