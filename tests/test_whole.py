@@ -35,3 +35,16 @@ def test_vector_sample_and_pairs_are_of_the_whole_table(spark):
     assert len(s) == 200 and min(s) < 0 and max(s) < 1
     p = vectors.all_pairs(df.filter("b = 7").withColumnRenamed("b", "q"), df, "q", "b").collect()
     assert sorted(r["b"] for r in p) == [i for i in range(70) if i != 7]
+
+
+def test_best_passage_is_of_the_whole_text(spark, tmp_path):
+    import __spark_entry__ as e
+
+    fill = " ".join(f"Sentence {chr(97 + i)}{chr(98 + i)} speaks of weather, roads and gardens in quiet towns." for i in range(20))
+    late = fill + " The northern plant has 42 turbines in total."
+    g = [(1, "The northern plant has 57 turbines in total.", late), (2, "The northern plant has 42 turbines in total.", late), (3, "x", None), (4, "", late), (5, "abc", "")]
+    spark.createDataFrame(g, "row_id long, claim string, source_text string").write.parquet(str(tmp_path / "gold.parquet"))
+    got = {r["row_id"]: r for r in e.queries()["fp15_anchor_fp16_specificity_fp17_conflict"](spark, str(tmp_path)).collect()}
+    assert len(got) == 5 and got[1]["conflict_flag"] == 1 and got[1]["num_edit_mag"] > 0 and got[1]["anchor_mm"] == 1
+    assert got[2]["fuzzy"] > 0.95 and got[2]["conflict_flag"] == 0
+    assert got[3]["fuzzy"] == got[4]["fuzzy"] == got[5]["fuzzy"] == 0

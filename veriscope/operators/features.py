@@ -98,6 +98,24 @@ def pair_features(pairs: DataFrame, key: str, claim: str, source: str, best: str
     return out.withColumnRenamed("k", key)
 
 
+def best_chunks(records: DataFrame, key: str, claim: str = "claim", source: str = "source_text") -> DataFrame:
+    """``key, claim, source, best``: the chunk of each record's whole text that BM25 puts first.
+
+    Without a score above 0 it is the first chunk that has tokens; empty for a claim without tokens or an empty text.
+    Chunks of records that share a text are made once.
+    """
+    rec = records.select(key, claim, F.coalesce(F.col(source), F.lit("")).alias(source)).withColumn("_doc", F.md5(source))
+    work = Workspace(records.sparkSession, "best")
+    chunks = work.save(segment.view_chunks(rec.select("_doc", source).dropDuplicates(["_doc"]), ["_doc"], source), "chunks")
+    posts = work.save(bm25.postings(chunks, "_doc", "chunk_no"), "postings")
+    score = bm25.scores(rec.select(key, "_doc", claim), posts, *bm25.statistics(posts, "_doc", "chunk_no"), key, "_doc", "chunk_no", claim).filter("score > 0")
+    won = score.groupBy(key).agg(F.min_by("chunk_no", F.struct(-F.col("score"), F.col("chunk_no"))).alias("_won"))
+    first = posts.groupBy("_doc").agg(F.min("chunk_no").alias("_first"))
+    said = rec.join(won, key, "left").join(first, "_doc", "left").withColumn("chunk_no", F.when(F.size(T.tokens(claim)) > 0, F.coalesce("_won", "_first")))
+    said = said.join(chunks.select("_doc", "chunk_no", F.col("text").alias("best")), ["_doc", "chunk_no"], "left")
+    return said.select(key, claim, source, F.coalesce("best", F.lit("")).alias("best"))
+
+
 def low_tier(records: DataFrame, background: DataFrame, key: str = "row_id", claim: str = "claim", source: str = "source_text") -> DataFrame:
     """The thirteen low-tier features of labelled records (claim with its own evidence text).
 

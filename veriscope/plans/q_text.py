@@ -340,10 +340,9 @@ def _(spark, sf):
 
 @query("fp15_anchor_fp16_specificity_fp17_conflict", None)
 def _(spark, sf):
-    from veriscope.operators.features import pair_features
+    from veriscope.operators.features import best_chunks, pair_features
 
-    g = table(spark, sf, "gold").withColumn("best", F.substring("source_text", 1, 300))
-    return pair_features(g, "row_id", "claim", "source_text", "best")
+    return pair_features(best_chunks(table(spark, sf, "gold"), "row_id"), "row_id", "claim", "source_text", "best")
 
 
 @query("fp16_number_density", f"SELECT claim_key, round(len(regexp_extract_all(claim, '\\d+'))::DOUBLE / greatest(1, len({s_tokens('claim')})), 6) AS density FROM extracted_claims WHERE claim IS NOT NULL")
