@@ -48,3 +48,20 @@ def test_best_passage_is_of_the_whole_text(spark, tmp_path):
     assert len(got) == 5 and got[1]["conflict_flag"] == 1 and got[1]["num_edit_mag"] > 0 and got[1]["anchor_mm"] == 1
     assert got[2]["fuzzy"] > 0.95 and got[2]["conflict_flag"] == 0
     assert got[3]["fuzzy"] == got[4]["fuzzy"] == got[5]["fuzzy"] == 0
+
+
+def test_every_row_is_matched_with_all_its_sources(spark, tmp_path):
+    import __spark_entry__ as e
+
+    said = "The old pump was closed for repairs in the spring of that year."
+    g = [(1, "g", said, "Nothing of this."), (2, "g", said, "Nothing of this."), (3, None, said, said), (4, "none", said, said), (5, "g", None, ""), (6, "", said, None)]
+    s = [("g", 0, "Nothing of this."), ("g", 1, "We saw: " + said), ("g", 2, said), ("g", 3, None), (None, 0, said)]
+    spark.createDataFrame(g, "row_id long, group_id string, claim string, source_text string").write.parquet(str(tmp_path / "gold.parquet"))
+    spark.createDataFrame(s, "group_id string, source_index int, text string").write.parquet(str(tmp_path / "sources.parquet"))
+    got = {r["row_id"]: r for r in e.queries()["m2_m3_fuzzy_m31_location"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    for i, at, start in ((1, 1, 8), (2, 1, 8), (3, 0, 0), (4, 0, 0)):
+        assert (got[i]["exact"], got[i]["fuzzy"], got[i]["source_index"], got[i]["fuzzy_location"]["char_start"]) == (True, 1.0, at, start)
+    assert not got[5]["exact"] and got[5]["fuzzy"] == 0
+    span = {r["row_id"]: (r["span"], r["long"]) for r in e.queries()["m30_longest_span"](spark, str(tmp_path)).collect()}
+    assert span == {**dict.fromkeys([1, 2, 3, 4], (len(said), True)), 5: (0, False)}

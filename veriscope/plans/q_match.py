@@ -26,11 +26,36 @@ def _(spark, sf):
     return matching.exact_matches(_claims(spark, sf), table(spark, sf, "sources"), "row_id", "group_id", "source_index")
 
 
+def _texts(spark, sf):
+    g = table(spark, sf, "gold").select(F.coalesce("claim", F.lit("")).alias("claim"), "row_id", "group_id", "source_text").withColumn("_cd", F.md5("claim"))
+    s = table(spark, sf, "sources").filter("text is not null and group_id <> ''").select("group_id", "source_index", "text").withColumn("_td", F.md5("text"))
+    return g, s
+
+
+def _evidence(spark, sf):
+    """``row_id, _cd, _td, source_index``: digests of each claim and of every text it is to be found in, a text once.
+
+    The texts are those of the sources of its group and its own ``source_text``, which counts as source 0.
+    """
+    g, s = _texts(spark, sf)
+    own = g.filter("source_text is not null").select("row_id", "_cd", F.md5("source_text").alias("_td"), F.lit(0).alias("source_index"))
+    theirs = g.filter("group_id <> ''").select("row_id", "_cd", "group_id").join(s.select("group_id", "_td", "source_index"), "group_id").drop("group_id")
+    return own.unionByName(theirs).groupBy("row_id", "_cd", "_td").agg(F.min("source_index").alias("source_index"))
+
+
+def _distinct_pairs(spark, sf, asked):
+    """``_cd, _td, claim, text``: each pair of a claim and a text once, whatever number of rows has it."""
+    g, s = _texts(spark, sf)
+    texts = g.filter("source_text is not null").select(F.md5("source_text").alias("_td"), F.col("source_text").alias("text")).unionByName(s.select("_td", "text")).dropDuplicates(["_td"])
+    return asked.select("_cd", "_td").distinct().join(g.select("_cd", "claim").dropDuplicates(["_cd"]), "_cd").join(texts, "_td")
+
+
 @query("m2_m3_fuzzy_m31_location", None)
 def _(spark, sf):
-    g = table(spark, sf, "gold").filter("source_text is not null")
-    one = gold.first_by(g.select("row_id", "claim", "source_text"), [F.md5("claim"), F.md5("source_text")], ["row_id"])
-    return matching.fuzzy_and_exact(one, ["row_id"], "claim", "source_text").select("row_id", "exact", F.round("fuzzy", 6).alias("fuzzy"), "fuzzy_text", "fuzzy_location")
+    asked = _evidence(spark, sf)
+    layer = matching.fuzzy_and_exact(_distinct_pairs(spark, sf, asked), ["_cd", "_td"], "claim", "text").drop("exact_location")
+    best = F.min_by(F.struct(F.round("fuzzy", 6).alias("fuzzy"), "fuzzy_text", "fuzzy_location", "source_index"), F.struct(-F.col("fuzzy"), "source_index", "_td"))
+    return asked.join(layer, ["_cd", "_td"]).groupBy("row_id").agg(F.max("exact").alias("exact"), best.alias("x")).select("row_id", "exact", "x.*")
 
 
 _BM = f"""WITH {_PASSAGES}, q AS (SELECT p.source_key, p.text, row_number() OVER (PARTITION BY p.source_key ORDER BY island) - 1 AS no FROM p WHERE regexp_matches(p.text, '{WORD}')),
@@ -270,9 +295,9 @@ def _(spark, sf):
 
 @query("m30_longest_span", None)
 def _(spark, sf):
-    g = table(spark, sf, "gold").filter("source_text is not null")
-    one = gold.first_by(g.select("row_id", "claim", "source_text"), [F.md5("claim"), F.md5("source_text")], ["row_id"])
-    return one.select("row_id", matching.longest_span("claim", "source_text").alias("span")).withColumn("long", F.col("span") >= 40)
+    asked = _evidence(spark, sf)
+    spans = _distinct_pairs(spark, sf, asked).select("_cd", "_td", matching.longest_span("claim", "text").alias("span"))
+    return asked.join(spans, ["_cd", "_td"]).groupBy("row_id").agg(F.max("span").alias("span")).withColumn("long", F.col("span") >= 40)
 
 
 @query("m31_locations", f"""WITH x AS (SELECT chunk_id, char_start, substring(s.text, 1, char_start) AS head FROM chunks c JOIN sources s USING (source_key) WHERE char_start >= 0)
