@@ -65,3 +65,24 @@ def test_every_row_is_matched_with_all_its_sources(spark, tmp_path):
     assert not got[5]["exact"] and got[5]["fuzzy"] == 0
     span = {r["row_id"]: (r["span"], r["long"]) for r in e.queries()["m30_longest_span"](spark, str(tmp_path)).collect()}
     assert span == {**dict.fromkeys([1, 2, 3, 4], (len(said), True)), 5: (0, False)}
+
+
+def test_number_keys_fall_back_as_the_kernel_does(spark, tmp_path):
+    import __spark_entry__ as e
+    from veriscope.functions import entities as E
+
+    pairs = [("It grew by 40 %.", "It has a 40 % share."), ("It grew by 40 %.", "It has a 30 % share."), ("It has 40 nodes.", "It has 40 nodes."), ("It has 40 nodes.", "We saw 30 GB nodes."), ("It weighs 40 GB.", "In all 12 files."), ("Just 40.", "Just 40."), ("A 40 % share.", "A 30 % share and 40 % profit.")]
+    g = [(i, c, s) for i, (c, s) in enumerate(pairs)]
+    spark.createDataFrame(g, "row_id long, claim string, source_text string").write.parquet(str(tmp_path / "gold.parquet"))
+    got = {(r["row_id"], r["v"], r["unit"], r["context"]): r["held"] for r in e.queries()["j14_number_keys"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, c, s in g:
+        for v, u, w in E.numbers(c):
+            want[(i, v, u, w)] = -1
+            for ku, kw in ((u, w), (u, ""), ("", w)):
+                there = [x for x, xu, xw in E.numbers(s) if (ku, kw) in ((xu, xw), (xu, ""), ("", xw))] if (ku, kw) != ("", "") else []
+                if there:
+                    want[(i, v, u, w)] = int(v in there)
+                    break
+    assert got == want
+    assert [{h for (i, *_), h in got.items() if i == k} for k in range(7)] == [{1}, {0}, {1}, {0}, {-1}, {-1}, {0}]

@@ -392,9 +392,15 @@ def _(spark, sf):
     from veriscope.functions import entities as E
 
     g = table(spark, sf, "gold").filter("source_text is not null").withColumn("_d", F.md5("source_text"))
-    mine = g.select("row_id", "_d", F.explode(E.numbers_column(F.col("claim"))).alias("x")).select("row_id", "_d", F.col("x.value").alias("v"), "x.unit", "x.context")
-    theirs = g.dropDuplicates(["_d"]).select("_d", F.explode(E.numbers_column(F.col("source_text"))).alias("x")).select("_d", F.col("x.value").alias("w"), "x.unit", "x.context").distinct()
-    return mine.join(theirs, ["_d", "unit", "context"], "left").groupBy("row_id", "v", "unit", "context").agg(F.coalesce(F.max((F.col("v") == F.col("w")).cast("int")), F.lit(-1)).alias("held"))
+    x, none = F.col("x"), F.lit("")
+    key = lambda rank, unit, context: F.struct(F.lit(rank).alias("rank"), unit.alias("ku"), context.alias("kc"))
+    # unit and context, else the unit, else the context; a number with neither has no key
+    keys = F.filter(F.array(key(0, x["unit"], x["context"]), key(1, x["unit"], none), key(2, none, x["context"])), lambda k: (k["ku"] != "") | (k["kc"] != ""))
+    mine = g.select("row_id", "_d", F.explode(E.numbers_column(F.col("claim"))).alias("x")).select("row_id", "_d", x["value"].alias("v"), x["unit"].alias("unit"), x["context"].alias("context"), F.explode_outer(keys).alias("k")).select("row_id", "_d", "v", "unit", "context", "k.*")
+    theirs = g.dropDuplicates(["_d"]).select("_d", F.explode(E.numbers_column(F.col("source_text"))).alias("x")).select("_d", x["value"].alias("w"), F.explode(keys).alias("k")).select("_d", "w", "k.ku", "k.kc")
+    theirs = theirs.groupBy("_d", "ku", "kc").agg(F.collect_set("w").alias("ws"))
+    found = F.min(F.when(F.col("ws").isNotNull(), F.struct("rank", F.array_contains("ws", F.col("v")).cast("int").alias("held"))))
+    return mine.join(theirs, ["_d", "ku", "kc"], "left").groupBy("row_id", "v", "unit", "context").agg(found.alias("x")).select("row_id", "v", "unit", "context", F.coalesce("x.held", F.lit(-1)).alias("held"))
 
 
 @query("j15_name_categories", None)
