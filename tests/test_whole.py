@@ -86,3 +86,16 @@ def test_number_keys_fall_back_as_the_kernel_does(spark, tmp_path):
                     break
     assert got == want
     assert [{h for (i, *_), h in got.items() if i == k} for k in range(7)] == [{1}, {0}, {1}, {0}, {-1}, {-1}, {0}]
+
+
+def test_ratio_and_held_out_accuracy_have_queries(spark, tmp_path):
+    import __spark_entry__ as e
+
+    v = [(0, [3.0, 0.0]), (1, [0.0, 2.0]), (20, [1.0, 1.0]), (40, None)]
+    spark.createDataFrame([(i, x, 0) for i, x in v], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["q"]: r["ratio"] for r in e.queries()["m13_semantic_ratio"](spark, str(tmp_path)).collect()}
+    assert got == {0: pytest.approx(0.707107), 20: pytest.approx(0.707107)}
+    g = [("en", "red pump", "red pump", 1), ("en", "blue hose", "none", 0), ("de", "red pump", "red pump", 0), ("de", "tank", "tank", 1), ("de", "tank", "x", None)]
+    spark.createDataFrame([(i, f"u{i}", "g", "eval", "o", *r) for i, r in enumerate(g)], "row_id long, uid string, group_id string, role string, origin string, lang string, claim string, source_text string, label int").write.parquet(str(tmp_path / "gold.parquet"))
+    got = {r["lang_norm"]: (r["accuracy"], r["n"]) for r in e.queries()["c32_held_out_accuracy"](spark, str(tmp_path)).collect()}
+    assert got == {"en": (1.0, 2), "de": (0.5, 2)}

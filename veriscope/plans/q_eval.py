@@ -446,6 +446,15 @@ def _(spark, sf):
     return evaluate.leave_one_out(scored(spark, sf), "lang_norm", "p", "label", evaluate.grid(0.2, 0.8, 13))
 
 
+@query("c32_held_out_accuracy", f"WITH {S_SCORED}, {_grid_sql(0.2, 0.8, 13)}, k AS (SELECT DISTINCT lang_norm AS held FROM scored WHERE label IS NOT NULL), z AS (SELECT held, threshold, label, (p >= threshold)::INT AS said FROM scored JOIN k ON lang_norm <> held CROSS JOIN g WHERE label IS NOT NULL), c AS (SELECT held, threshold, {s_counts()} FROM z GROUP BY 1, 2), m AS (SELECT held, threshold, {S_MACRO} AS macro_f1 FROM c), t AS (SELECT held, {_BEST} FROM m GROUP BY 1) SELECT lang_norm, round(avg(((p >= threshold)::INT = label)::INT), 6) AS accuracy, count(*) AS n FROM scored JOIN t ON lang_norm = held WHERE label IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    s, grid = scored(spark, sf), evaluate.grid(0.2, 0.8, 13)
+    tuned = evaluate.leave_one_out(s, "lang_norm", "p", "label", grid).select("lang_norm", "threshold")
+    tp, fp, fn, tn = _l("tp", "fp", "fn", "tn")
+    own = evaluate.scan(s, ["lang_norm"], "p", "label", grid).join(tuned, ["lang_norm", "threshold"])  # the counts that tuning has made already
+    return own.select("lang_norm", F.round((tp + tn) / (tp + fp + fn + tn), 6).alias("accuracy"), (tp + fp + fn + tn).alias("n"))
+
+
 @query("c14_halves", "SELECT label, half, count(*) AS n FROM (SELECT label, ntile(2) OVER (PARTITION BY label ORDER BY md5(uid), uid) AS half FROM gold) GROUP BY 1, 2")
 def _(spark, sf):
     g = table(spark, sf, "gold").withColumn("half", big(F.ntile(2).over(Window.partitionBy("label").orderBy(F.md5("uid"), "uid"))))

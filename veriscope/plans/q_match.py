@@ -166,6 +166,15 @@ def _(spark, sf):
     return e.select("vec_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), vectors.cosine(v, v))), 6).alias("self_score"))
 
 
+@query("m13_semantic_ratio", _TOP + f", c AS (SELECT vec_id AS q, least(1.0, greatest(0.0, {_DOT.replace('b.v', 'a.v')})) AS own FROM e a) SELECT q, round(max(score), 6) AS best, round(max(score) / nullif(any_value(own), 0), 6) AS ratio FROM s JOIN c USING (q) WHERE q <> b GROUP BY 1")
+def _(spark, sf):
+    q, _e = _queries(spark, sf)
+    v = F.col("embedding")
+    own = q.select(F.col("vec_id").alias("q"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), vectors.cosine(v, v))).alias("own"))
+    best = _pairs(spark, sf, 2).filter("q <> b").groupBy("q").agg(F.max("score").alias("best"))  # the nearest besides itself
+    return best.join(own, "q").select("q", F.round("best", 6).alias("best"), F.when(F.col("own") > 0, F.round(F.col("best") / F.col("own"), 6)).alias("ratio"))
+
+
 @query("m15_normalised_vectors", _VEC + " SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 5) AS total FROM e")
 def _(spark, sf):
     n = vectors.normalise(F.col("embedding"))
