@@ -6,7 +6,7 @@ stands capitalised and only in few evidence groups is a name and says nothing, n
 word; scores are bounded, so no single word decides. The best sequence of languages over the words of a claim, with a
 price for each change (a lower one at a sentence end), gives its segments.
 
-The model is trained on a bounded sample of the labelled claims. As labels err, it is trained twice, the second time
+The model is trained on a bounded sample of the distinct labelled claims. As labels err, it is trained twice, the second time
 without the claims whose label the first model contradicts.
 """
 
@@ -18,10 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: labelled claims with the smallest hashes.
+from veriscope.llm.sampling import share_of, within
+
+#: Bound of the training sample: distinct labelled claims, drawn by their hash.
 SAMPLE = 12_000
 #: Price of a change of language inside a sentence and at its end.
 CHANGE, CHANGE_AT_END = 9.0, 4.0
@@ -259,16 +262,22 @@ def _confidence(scores: np.ndarray, k: int) -> float:
     return float(e[k] / e.sum())
 
 
+def training_sample(df: DataFrame, languages: list[tuple[str, str, str]], text: str = "claim", lang: str = "lang", group: str = "group_id", size: int = SAMPLE) -> DataFrame:
+    """``t, c, g``: about ``size`` distinct labelled texts with the label that most of their rows have.
+
+    Texts are drawn by their hash before anything is gathered, and copies are one text, so a text with most of the rows
+    neither fills the sample nor reaches the driver more than once. ``g`` is the smallest group of the text.
+    """
+    rows = df.select(F.col(text).alias("t"), stated_code(F.col(lang), languages).alias("c"), F.coalesce(F.col(group), F.lit("")).alias("g")).filter("c is not null and length(t) > 0")
+    drawn = rows.filter(within(F.col("t"), share_of(rows, F.xxhash64("t"), size)))
+    said = drawn.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("g"))
+    return said.groupBy("t").agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("c"), F.min("g").alias("g"))
+
+
 def train_on(df: DataFrame, languages: list[tuple[str, str, str]], text: str = "claim", lang: str = "lang", group: str = "group_id") -> Model:
     codes = sorted({"nb" if c == "no" else c for c, _, _ in languages})
-    rows = (
-        df.select(F.col(text).alias("t"), stated_code(F.col(lang), languages).alias("c"), F.coalesce(F.col(group), F.lit("")).alias("g"))
-        .filter("c is not null and length(t) > 0")
-        .orderBy(F.xxhash64("t"), "t", "c", "g")
-        .limit(SAMPLE)
-        .collect()
-    )
-    return train([(r["t"], r["c"], r["g"]) for r in rows], codes)
+    rows = sorted(map(tuple, training_sample(df, languages, text, lang, group).collect()), key=lambda r: (xxhash.xxh64_intdigest(r[0].encode("utf-8", "surrogatepass")), r[0]))
+    return train(rows[:SAMPLE], codes)
 
 
 _SEGMENTS = "k {kind}, stated string, named boolean, segments array<struct<lang:string,char_start:int,char_end:int,confidence:double>>"
