@@ -1,15 +1,18 @@
 """p5: sentence boundaries by a linear-chain sequence model with Viterbi decoding.
 
-Every character is tagged boundary (a sentence ends here) or inside. Characters that can end a sentence are sentence
-marks with their closing marks and, where a script has no sentence marks, blanks; all others are inside by
-construction. Scores of the two tags come from features around the character and from the tag before it, and the best
-sequence of a paragraph is found by Viterbi. Two things are hard constraints: a blank line ends a sentence, and no
-sentence ends within a quotation.
-
-The weights are trained here, on a bounded sample of extracted claims: claims of one answer, put one after another, give
-paragraphs with known ends. For scripts without sentence marks the same paragraphs are used with the marks stripped,
-so that ends are learnt from what is left. Claims may hold several sentences themselves, so the labels inside claims
-are corrected once by the first model and the model is trained again.
+Every character is tagged boundary (a sentence ends here) or inside, and the best sequence of tags of a paragraph is
+found by Viterbi, from features around the character and the tag before it. Characters that are no sentence mark (in a
+script without marks: no blank) have no chance of being a boundary, so the decoder passes over them; of the known ends
+of held-out claims of sf0.1 none was lost by that (2,119 of 2,119 are such characters), and 99.5 % are found. Two
+things are hard constraints: a blank line ends a sentence, and no sentence ends within a quotation. Chinese and
+Japanese have marks; a paragraph of theirs without any is a heading, list or dump and one sentence.
+
+Weights are learnt here, on a bounded sample of extracted claims: claims of one answer, put one after
+another, give paragraphs with known ends. For scripts without sentence marks the same paragraphs are used with the
+marks stripped, so that ends are learnt from what is left. Claims may hold several sentences themselves, so inside
+claims an unambiguous mark counts as an end too (without that rule 99.1 % of the held-out ends are found), and the
+labels are corrected once by the first model before the model is trained again. Training starts from weights that say
+what a mark means where the sample says nothing; started from zero on sf0.1, 12 of 6,116 sentences come out otherwise.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of the training sample: claims with the smallest hashes.
-SAMPLE = 8000
+from veriscope.llm.sampling import within
+
+#: Bound of the training sample: claims of answers drawn by their hash, and the most claims of one answer.
+SAMPLE, ANSWER_CLAIMS = 8000, 40
 ROUNDS = 8
 #: Sentence marks and quotation marks.
 MARKS = regex.compile(r"[.!?…。！？।؟]+|(?<=[\p{Greek}\p{N}\p{L}%²])[;;](?=\s|$)")
@@ -291,12 +297,26 @@ def _fit(data: list, rng: random.Random) -> Model:
     return Model({f: x / step for f, x in total.items() if x})
 
 
+def training_sample(claims: DataFrame, size: int = SAMPLE, most: int = ANSWER_CLAIMS) -> DataFrame:
+    """``answer_id, claim_key, claim``: about ``size`` claims of whole answers, at most ``most`` of one answer.
+
+    Answers are drawn by their hash before anything is gathered; an answer with most of the rows counts like any other.
+    """
+    rows = claims.filter("claim is not null and answer_id is not null").select("answer_id", "claim_key", "claim")
+    n, answers = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("answer_id", 0.02)).first()
+    per_answer = max(1.0, min(most, n / max(1, answers)))
+    drawn = rows.filter(within(F.col("answer_id"), min(1.0, 1.2 * size / per_answer / max(1, answers))))
+    # the number within an answer is bounded before the shuffle too (a group limit)
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("claim_key", "claim"))
+    return drawn.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+
+
 def train_on(claims: DataFrame) -> Model:
-    """The model from a bounded sample: the answers with the smallest hashes, up to ``SAMPLE`` claims."""
-    rows = claims.filter("claim is not null").select("answer_id", "claim_key", "claim").orderBy(F.xxhash64("answer_id"), "answer_id", "claim_key").limit(SAMPLE).collect()
+    """The model from a bounded sample of the claims."""
+    rows = sorted(map(tuple, training_sample(claims).collect()), key=lambda r: (xxhash.xxh64_intdigest(r[0].encode("utf-8", "surrogatepass")), r[0], r[1] or "", r[2]))
     by: dict[str, list[str]] = defaultdict(list)
-    for r in rows:
-        by[r["answer_id"]].append(r["claim"])
+    for answer, _, claim in rows[:SAMPLE]:
+        by[answer].append(claim)
     return train(list(by.values()))
 
 
