@@ -1,41 +1,55 @@
 """p4: near-duplicate records by a chosen-path set similarity join.
 
-A claim is the set of its distinct substrings of three characters. Each tree sends a claim down from its root: a node
+A claim is the set of its distinct substrings of three characters. From each root a claim goes down a tree: a node
 selects a few of the claim's minwise tokens (by a hash of the node, so that all claims in a node select alike), and for
 each the claim goes on to the child named by the token. Two claims of similarity J take such a step together with
-probability J, so similar ones meet in a leaf and others part. Paths depend on the claim alone and are computed without
-a shuffle; what is shuffled is one packed record for each leaf a claim reaches. Leaves with few claims are compared
-exhaustively, on sketches of 192 parities; leaves with more claims branch on, level by level, until they are small. Independent
-trees repeat this until the recall asked for. Surviving pairs are then measured exactly on the texts.
+probability J, so similar ones stay together and others part. A node that is small is not branched on but compared
+exhaustively, on sketches of 192 parities. Independent trees are repeated until the recall asked for, and surviving pairs
+are measured exactly on the texts.
+
+Which nodes are large is told from a bounded sample of the texts before anything is shuffled: it gives the numbers of
+claims in large nodes and, for nodes too small to be met in it, their mean size by depth. So paths depend on the claim
+and this plan alone, and what is shuffled is one packed record for each leaf a claim reaches, once. The plan decides how
+far paths go and how many trees there are; every claim follows all of its paths. A large node of claims too alike to be
+parted is divided into blocks, and pairs of blocks are compared in tasks of their own.
 
 Repeats of one text are joined once and expanded at the end, so a group of copies costs one record.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriscope.llm.sampling import within
 from veriscope.plans.shared import Workspace
 
 THRESHOLD = 0.7
 GRAM = 3
 #: Minwise tokens of a claim.
 TOKENS = 48
-TREES = 3
-#: Children that a node selects, level by level from the root.
-BRANCHES = (3, 2, 1, 1)
-#: A larger leaf branches on, with so many children at each further level.
-LEAF, MORE_BRANCHES, DEEPEST = 3000, 2, 16
+#: Share of the pairs just at the threshold that the trees are to bring together.
+RECALL = 0.99
+#: Children that a node selects below the root, level by level and then in turn.
+BRANCHES = (2, 1)
+#: Claims in a node up to which it is compared exhaustively; the last level.
+LEAF, DEEPEST = 200, 16
+#: Distinct texts in the sample that the sizes of nodes are told from, and of how many of them a large node is known.
+SAMPLE, SEEN = 20_000, 3
+#: A node is branched on if its children need less than this share of its comparisons.
+SAVES = 0.8
+#: Claims in a block of a node that stays large.
+BLOCK_ROWS = 4000
 #: Bits of a claim's sketch: the parities of its tokens hashed to so many places.
 SKETCH = 192
 #: Standard deviations that the sketches of a pair may differ more than at the threshold and still be measured.
-SLACK = 1.8
+SLACK = 2.0
 #: Bytes of records aimed at in one group of leaves.
 GROUP_BYTES = 12_000_000
 #: Rows whose tokens are hashed at a time, and records compared at a time (both fit in a core's cache).
@@ -105,17 +119,136 @@ def _children(node: np.ndarray, rows: np.ndarray, tokens: np.ndarray, child: int
     return _mix(node ^ _mix((tokens[rows, pick].astype(np.uint64) << np.uint64(8)) | pick.astype(np.uint64)))
 
 
-def _leaves(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Nodes:
+    """A set of nodes."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids = np.sort(ids)
+
+    def at(self, node: np.ndarray) -> np.ndarray:
+        """Place of each node in the set, -1 for others."""
+        if not len(self.ids):
+            return np.full(len(node), -1)
+        at = np.minimum(np.searchsorted(self.ids, node), len(self.ids) - 1)
+        return np.where(self.ids[at] == node, at, -1)
+
+
+class Plan:
+    """How far paths go: by depth the nodes that are branched on, those that are not, and whether all others are."""
+
+    def __init__(self, roots: int):
+        self.roots = roots
+        self.branched: list[_Nodes] = []
+        self.stuck: list[_Nodes] = []
+        self.open: list[bool] = []
+        self.divided, self.parts = _Nodes(np.zeros(0, np.uint64)), np.zeros(0, np.int64)  # large leaves and their blocks
+
+    def goes_on(self, node: np.ndarray, depth: int) -> np.ndarray:
+        if depth >= len(self.open):
+            return np.zeros(len(node), bool)
+        if self.open[depth]:
+            return self.stuck[depth].at(node) < 0
+        return self.branched[depth].at(node) >= 0
+
+
+def _roots(n: int, roots: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = _mix(np.arange(1, roots + 1, dtype=np.uint64))
+    return np.tile(np.arange(n), roots), np.repeat(ids, n)
+
+
+def _step(rows: np.ndarray, node: np.ndarray, tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The children, one level down."""
+    width = 1 if depth == 0 else BRANCHES[(depth - 1) % len(BRANCHES)]  # a root's further children are further roots
+    return np.tile(rows, width), np.concatenate([_children(node, rows, tokens, c) for c in range(width)])
+
+
+def _sized(tokens: np.ndarray, n: int, roots: int) -> tuple[Plan, np.ndarray]:
+    """The plan for ``roots`` trees over ``n`` texts from the tokens of a sample, and how many paths end at each depth.
+
+    A large node is branched on while that saves comparisons: where its claims are so alike that most stay together on
+    every child, it is left whole. The same goes, by their mean, for the nodes too small to be told from the sample.
+    """
+    s, plan = len(tokens), Plan(roots)
+    scale, own = n / max(1, s), int(s < n)  # of a node's claims in a sample one has been counted for itself
+    rows, node = _roots(s, roots)
+    ends = np.zeros(DEEPEST + 1)
+    divided: dict[int, int] = {}
+    for depth in range(DEEPEST + 1):
+        ids, at, count = np.unique(node, return_inverse=True, return_counts=True)
+        large = (count * scale > LEAF) & ((count >= SEEN) | (s == n))
+        pairs = count.astype(np.float64) * (count - own)
+        mean = pairs[~large].sum() / max(1, count[~large].sum()) * scale
+        on = np.full(len(node), mean > LEAF) | large[at]
+        saves = np.zeros(len(ids), bool)
+        opens = False
+        if depth < DEEPEST and on.any():
+            _, below = _step(rows[on], node[on], tokens, depth)
+            kids, first, each = np.unique(below, return_index=True, return_counts=True)
+            parent = np.tile(at[on], len(below) // int(on.sum()))[first]
+            after = np.bincount(parent, each.astype(np.float64) * (each - own), len(ids))
+            saves = after < SAVES * pairs
+            opens = mean > LEAF and after[~large].sum() < SAVES * pairs[~large].sum()
+        branched = large & saves
+        stuck = large & ~saves
+        divided |= {int(k): -(-int(c * scale) // BLOCK_ROWS) for k, c in zip(ids[stuck], count[stuck]) if c * scale > BLOCK_ROWS}
+        on = (opens & ~stuck[at]) | branched[at]
+        plan.branched.append(_Nodes(ids[branched]))
+        plan.stuck.append(_Nodes(ids[stuck]))
+        plan.open.append(bool(opens))
+        ends[depth] += (~on).sum()
+        if not on.any():
+            break
+        rows, node = _step(rows[on], node[on], tokens, depth)
+    plan.divided = _Nodes(np.array(list(divided), np.uint64))
+    plan.parts = np.array([divided[int(k)] for k in plan.divided.ids], np.int64)
+    return plan, ends
+
+
+def _together(similarity: float, depth: int) -> float:
+    """Probability that two texts share a node at this depth below one root."""
+    q = 1.0
+    for d in range(depth - 1, 0, -1):
+        q = 1 - (1 - similarity * q) ** BRANCHES[(d - 1) % len(BRANCHES)]
+    return similarity * q if depth else 1.0
+
+
+def make_plan(tokens: np.ndarray, n: int, threshold: float, recall: float) -> tuple[Plan, float]:
+    """The plan with as many trees as pairs at the threshold need, and the paths of a text."""
+    _, ends = _sized(tokens, n, 1)
+    share = ends / max(1.0, ends.sum())
+    miss = np.array([1 - _together(threshold, d) for d in range(len(share))])
+    roots = 1
+    while (share * miss**roots).sum() > 1 - recall and roots < 64:
+        roots += 1
+    plan, ends = _sized(tokens, n, roots)
+    return plan, ends.sum() / max(1, len(tokens))
+
+
+def _leaves(tokens: np.ndarray, rep: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """Row and leaf of every path of every tree."""
-    n = len(tokens)
     all_rows, all_nodes = [], []
-    for tree in range(TREES):
-        rows, node = np.arange(n), np.full(n, _mix(np.array([tree + 1], np.uint64))[0])
-        for width in BRANCHES:
-            rows, node = np.tile(rows, width), np.concatenate([_children(node, rows, tokens, c) for c in range(width)])
-        all_rows.append(rows)
-        all_nodes.append(node)
-    return np.concatenate(all_rows), np.concatenate(all_nodes)
+    rows, node = _roots(len(tokens), plan.roots)
+    for depth in range(DEEPEST + 1):
+        on = plan.goes_on(node, depth)
+        all_rows.append(rows[~on])
+        all_nodes.append(node[~on])
+        if not on.any():
+            break
+        rows, node = _step(rows[on], node[on], tokens, depth)
+    rows, node = np.concatenate(all_rows), np.concatenate(all_nodes)
+    return _blocks(rows, node, rep, plan) if len(plan.parts) else (rows, node)
+
+
+def _blocks(rows: np.ndarray, node: np.ndarray, rep: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Divides the leaves that are large: a record goes to each pair of blocks that its own block is in."""
+    at = plan.divided.at(node)
+    k = np.where(at >= 0, plan.parts[np.maximum(at, 0)], 1)
+    own = (_mix(rep[rows].astype(np.uint64)) % k.astype(np.uint64)).astype(np.int64)
+    again = np.repeat(np.arange(len(rows)), k)
+    other = np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+    lo, hi = np.minimum(own[again], other), np.maximum(own[again], other)
+    cell = _mix(node[again] ^ _mix(((lo << 24) | hi).astype(np.uint64) + np.uint64(1)))
+    return rows[again], np.where(k[again] > 1, cell, node[again])
 
 
 def _pack(rows: np.ndarray, node: np.ndarray, rep: np.ndarray, sketch: np.ndarray, size: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
@@ -145,38 +278,39 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(_REC).ravel()
 
 
-def _spread(groups: int):
+def _spread(groups: int, plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # batches are gathered, so that a group's records of a task are few blobs
-        for rep, text, _ in _gather(batches, 40_000):
+        for rep, text in _gather(batches, 40_000):
             tokens, sketch, size = _tokens(text)
-            got = list(_pack(*_leaves(tokens), rep, sketch, size, groups))
+            got = list(_pack(*_leaves(tokens, rep, plan), rep, sketch, size, groups))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
 
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, pa.Array, pa.Table]]:
+def _gather(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
     held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= size:
+    for b in chain(batches, [None]):
+        if b is not None:
+            held.append(b)
+        if held and (b is None or sum(x.num_rows for x in held) >= size):
             t = pa.Table.from_batches(held).combine_chunks()
-            yield t["rep"].to_numpy(), t["t"].chunk(0), t
+            if t.num_rows:
+                yield t["rep"].to_numpy(), t["t"].chunk(0)
             held = []
-    if sum(x.num_rows for x in held):
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield t["rep"].to_numpy(), t["t"].chunk(0), t
 
 
-def _most_apart(threshold: float) -> np.ndarray:
+def _most_apart(threshold: float, slack: float | None) -> np.ndarray:
     """By the sum of two numbers of grams, how many bits of their sketches may differ for the pair to be measured.
 
     At similarity J the sets differ in (1-J)/(1+J) of the sum of their sizes; these grams, thrown at the places of the
     sketch, leave an odd number in so many of them on average.
     """
     apart = np.arange(2 * 65535 + 1) * (1 - threshold) / (1 + threshold)
-    return SKETCH / 2 * (1 - np.exp(-2 * apart / SKETCH)) + SLACK * np.sqrt(SKETCH / 4 * (1 - np.exp(-4 * apart / SKETCH)))
+    if slack is None:
+        return np.full(len(apart), float(SKETCH))
+    return SKETCH / 2 * (1 - np.exp(-2 * apart / SKETCH)) + slack * np.sqrt(SKETCH / 4 * (1 - np.exp(-4 * apart / SKETCH)))
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -187,7 +321,7 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return off
 
 
-def _compare(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _compare(rec: np.ndarray, threshold: float, slack: float | None = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of representatives that share a leaf and whose sketches differ little. ``rec`` is sorted by leaf and size.
 
     In a leaf of any size each claim is compared with all others whose size allows the similarity. Small leaves are
@@ -195,7 +329,7 @@ def _compare(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]
     """
     if not len(rec):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bound = _most_apart(threshold)
+    bound = _most_apart(threshold, slack)
     leaf, rep, n = np.ascontiguousarray(rec["leaf"]), np.ascontiguousarray(rec["rep"]), rec["n"].astype(np.int64)
     sketch = np.stack([np.ascontiguousarray(rec[f"s{w}"]) for w in range(SKETCH // 64)])
     starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
@@ -235,34 +369,24 @@ def _compare(rec: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]
     return pairs[0, keep], pairs[1, keep]
 
 
-def _leaf_join(threshold: float, last: bool):
-    """Pairs ``a, b`` of small leaves (``open`` 0); claims ``a`` of larger leaves, which branch on from node ``b``."""
+def _leaf_join(threshold: float, slack: float | None):
+    """Pairs ``a, b`` of the leaves of the one group in a partition."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rec = np.sort(_unpack(table["blob"].to_pylist()), order=["leaf", "n", "rep"])
-        size = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], rec["leaf"][1:] != rec["leaf"][:-1]))), [len(rec)])))
-        wide = np.repeat(size > LEAF, size)
-        if last:
-            wide[:] = False
-        a, b = _compare(rec[~wide], threshold)
-        g = np.int64(table["g"][0].as_py())
-        oa, ob = rec["rep"][wide], (rec["leaf"][wide].astype(np.int64) << 20) | g
-        return pa.table({"a": np.concatenate([a, oa]), "b": np.concatenate([b, ob]), "open": np.concatenate([np.zeros(len(a), np.int8), np.ones(len(oa), np.int8)])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for b in batches for x in b.column("blob").to_pylist()]
+        if blobs:
+            rec = _unpack(blobs)
+            rec = rec[np.argsort((rec["leaf"].astype(np.uint64) << np.uint64(16)) | rec["n"], kind="stable")]
+            a, b = _compare(rec, threshold, slack)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _branch_on(groups: int, level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, text, table in _gather(batches, 40_000):
-            tokens, sketch, size = _tokens(text)
-            node = _mix(table["b"].to_numpy().astype(np.uint64) + np.uint64(level))
-            rows = np.arange(len(rep))
-            nodes = np.concatenate([_children(node, rows, tokens, c) for c in range(MORE_BRANCHES)])
-            got = list(_pack(np.tile(rows, MORE_BRANCHES), nodes, rep, sketch, size, groups))
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
-
-    return run
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        tokens = _tokens(b.column("t"))[0] if b.num_rows else np.zeros((0, TOKENS), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in tokens], pa.binary())], ["tokens"])
 
 
 def _set(s: str) -> set[str]:
@@ -314,25 +438,25 @@ def representatives(df: DataFrame, key: str, text: str, work: Workspace) -> tupl
     return members, reps.select("rep", "t")
 
 
-def similar_representatives(reps: DataFrame, work: Workspace, threshold: float = THRESHOLD) -> DataFrame:
-    """``a, b`` (``a < b``) of the distinct texts that are alike to at least ``threshold``."""
-    paths = TREES * int(np.prod(BRANCHES))
-    groups = max(12, -(-reps.count() * paths * _REC.itemsize // GROUP_BYTES))
-    blobs = reps.mapInArrow(_spread(groups), "g int, blob binary")
-    kept: list[DataFrame] = []
-    for level in range(len(BRANCHES), DEEPEST + 1):
-        # as many partitions as groups of leaves: what a task reads does not grow with the table
-        got = work.save(blobs.repartition(groups, "g").groupBy("g").applyInArrow(_leaf_join(threshold, level == DEEPEST), "a bigint, b bigint, open tinyint"), "leaves")
-        kept.append(got.filter("open = 0").select("a", "b"))
-        wide = got.filter("open = 1").select(F.col("a").alias("rep"), "b")
-        n = wide.count()
-        if not n:
-            break
-        groups = max(12, -(-n * MORE_BRANCHES * _REC.itemsize // GROUP_BYTES))
-        blobs = wide.join(reps, "rep").select("rep", "t", "b").mapInArrow(_branch_on(groups, level), "g int, blob binary")
-    pairs = reduce(DataFrame.unionByName, kept).distinct()
+def similar_representatives(reps: DataFrame, work: Workspace, threshold: float = THRESHOLD, recall: float = RECALL, slack: float | None = SLACK) -> DataFrame:
+    """``a, b`` (``a < b``) of the distinct texts that are alike to at least ``threshold``.
+
+    Of pairs just at the threshold the trees lose the share ``1 - recall`` and the sketches what lies beyond ``slack``
+    standard deviations; more alike pairs are lost far less often. With ``slack=None`` no pair is left out by its
+    sketch: all that meet in a leaf are measured.
+    """
+    n = reps.count()
+    share = min(1.0, 1.2 * SAMPLE / max(1, n))
+    drawn = reps.filter(within(F.col("rep"), share)) if share < 1 else reps
+    sample = [r[0] for r in drawn.select("rep", "t").mapInArrow(_token_rows, "tokens binary").collect()]  # SAMPLE times 192 bytes, about
+    tokens = np.frombuffer(b"".join(sample), np.uint32).reshape(-1, TOKENS)
+    plan, paths = make_plan(tokens, n if share < 1 else len(tokens), threshold, recall)
+    groups = max(12, math.ceil(n * paths * _REC.itemsize / GROUP_BYTES))
+    blobs = reps.mapInArrow(_spread(groups, plan), "g int, blob binary")
+    # a partition for each group of leaves: what a task reads does not grow with the table
+    found = work.save(blobs.repartitionById(groups, "g").mapInArrow(_leaf_join(threshold, slack), "a bigint, b bigint"), "leaves")
     texts_a, texts_b = reps.select(F.col("rep").alias("a"), F.col("t").alias("ta")), reps.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(texts_a, "a").join(texts_b, "b").select("a", "b", "ta", "tb").mapInArrow(_measure(threshold), "a bigint, b bigint")
+    return found.distinct().join(texts_a, "a").join(texts_b, "b").select("a", "b", "ta", "tb").mapInArrow(_measure(threshold), "a bigint, b bigint")
 
 
 def similar_pairs(df: DataFrame, spark: SparkSession, key: str = "row_id", text: str = "claim", threshold: float = THRESHOLD) -> DataFrame:
