@@ -8,16 +8,18 @@ who is right, guesses, always says the same or is wrong on purpose so gets a pos
 
 The judgments of a record are kept together in one row, so an iteration is a map over records and a sum per annotator
 with map-side combination: an annotator with a third of all judgments costs no more than any other. The messages are
-written to the shared folder at each iteration, which cuts the lineage.
+written to the shared folder at each iteration, which cuts the lineage. They have converged when no annotator's rate
+moves any more; where that is not reached in ``MOST_ROUNDS``, a warning says so.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriscope.plans.shared import Workspace
@@ -28,6 +30,8 @@ LEAST_ANNOTATORS = 3
 #: Up to so many annotators, their rates (12 numbers each) are sent to the tasks; beyond that they are joined.
 SENT_ANNOTATORS = 50_000
 TOLERANCE, MOST_ROUNDS = 2e-3, 40
+#: Parts in which a joined annotator's judgments are dealt with, and hash buckets in which annotators are numbered.
+SALTS, BUCKETS = 16, 1024
 
 
 def verdict_number(label: Column) -> Column:
@@ -104,9 +108,7 @@ def _rates(state: DataFrame) -> DataFrame:
 def pass_messages(standing: DataFrame, spark: SparkSession, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(state, rates, annotators)`` after convergence; ``state.total`` holds the log-odds of each record and class."""
     standing = work.save(standing, "standing")
-    names = standing.groupBy("annotator_id").count()
-    # numbered in the order of their names; few, as people and models are
-    annotators = work.save(names.select("annotator_id", F.col("count").alias("n_judgments"), (F.row_number().over(_by_name()) - 1).alias("a")), "annotators")
+    annotators = work.save(_numbered(standing.groupBy("annotator_id").agg(F.count(F.lit(1)).alias("n_judgments")), work), "annotators")
     share = "transform(c, x -> cast({k} as tinyint) = x)"
     grouped = standing.join(annotators.select("annotator_id", "a"), "annotator_id").groupBy("uid").agg(F.collect_list(F.struct("a", "c")).alias("e"))
     state = grouped.select("uid", F.expr("array_sort(e)").alias("e")).select("uid", F.expr("e.a").alias("a"), F.expr("e.c").alias("c"))
@@ -115,37 +117,59 @@ def pass_messages(standing: DataFrame, spark: SparkSession, work: Workspace) ->
     state = work.save(state, "state")
     n = annotators.count()
     before = None
-    for _ in range(MOST_ROUNDS):
-        rates = _rates(state)
+    for turn in range(MOST_ROUNDS):
         if n == 0:
             break
+        rates = _rates(state)
         if n <= SENT_ANNOTATORS:
             table = np.zeros((n, 3, 4))
             for row in rates.collect():
                 table[row["a"]] = np.array(row["r"]).reshape(3, 4)
-            overall, fed = table.sum(0), state
+            overall, fed, now = table.sum(0), state, table
         else:
-            rates = work.save(rates, "rates")
+            rates = now = work.save(rates, "rates")
             sums = rates.select([F.sum(F.col("r")[i]).alias(str(i)) for i in range(12)]).first()
             overall, table = np.array(list(sums)).reshape(3, 4), None
-            fed = state.select("uid", "c", "m", F.posexplode("a").alias("i", "x")).join(rates.withColumnRenamed("a", "x"), "x").groupBy("uid").agg(F.any_value("c").alias("c"), F.any_value("m").alias("m"), F.array_sort(F.collect_list(F.struct("i", "x", "r"))).alias("e"))
+            # rates are sent along once for each salt, so that a hot annotator's judgments meet them in several tasks
+            salted = rates.select(F.col("a").alias("x"), "r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            edges = state.select("uid", "c", "m", F.posexplode("a").alias("i", "x"), F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int").alias("salt"))
+            fed = edges.join(salted, ["x", "salt"]).groupBy("uid").agg(F.any_value("c").alias("c"), F.any_value("m").alias("m"), F.array_sort(F.collect_list(F.struct("i", "x", "r"))).alias("e"))
             fed = fed.select("uid", F.expr("e.x").alias("a"), "c", "m", F.expr("flatten(e.r)").alias("r"))
         prior = np.clip(overall[:, 0] / (overall[:, 0] + overall[:, 2]), 1e-3, 1 - 1e-3)
         columns = ["uid", "a", "c", "m"] + (["r"] if table is None else [])
         new = work.save(fed.select(*columns).mapInArrow(_kernel(table, prior), _STATE), "state")
         work.drop(state)
         state = new
-        now = np.concatenate([prior, (table[:, :, 1::2] / np.maximum(table[:, :, ::2], 1e-9)).ravel()]) if table is not None else prior
-        if before is not None and np.abs(now - before).max() < TOLERANCE:
+        # one rule for both ways: no annotator's rate and no prior moves by the tolerance
+        if before is not None and max(_largest_change(before[0], now), np.abs(before[1] - prior).max()) < TOLERANCE:
             break
-        before = now
+        if before is not None and table is None:
+            work.drop(before[0])
+        before = (now, prior)
+    else:
+        warnings.warn(f"messages still moved by {TOLERANCE} or more after {MOST_ROUNDS} rounds", stacklevel=2)
     return state, _rates(state), annotators
 
 
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.orderBy("annotator_id")
+def _largest_change(before: np.ndarray | DataFrame, now: np.ndarray | DataFrame) -> float:
+    """The largest change of a hit or false-alarm rate of any annotator and class."""
+    if isinstance(now, np.ndarray):
+        rate = lambda t: t[:, :, 1::2] / np.maximum(t[:, :, ::2], 1e-9)
+        return float(np.abs(rate(now) - rate(before)).max())
+    moved = [F.abs(F.col("r")[i + 1] / F.greatest(F.col("r")[i], F.lit(1e-9)) - F.col("q")[i + 1] / F.greatest(F.col("q")[i], F.lit(1e-9))) for i in range(0, 12, 2)]
+    return now.join(before.select("a", F.col("r").alias("q")), "a").agg(F.max(F.greatest(*moved))).first()[0]
+
+
+def _numbered(names: DataFrame, work: Workspace) -> DataFrame:
+    """With ``a``, numbers from 0 without gaps: places of hash buckets from their counts, then the order within a bucket."""
+    names = work.save(names.withColumn("bucket", F.pmod(F.xxhash64("annotator_id"), F.lit(BUCKETS)).cast("int")), "names")
+    first, starts = 0, []
+    for bucket, c in sorted(map(tuple, names.groupBy("bucket").count().collect())):  # a row a bucket
+        starts.append((bucket, first))
+        first += c
+    places = F.broadcast(names.sparkSession.createDataFrame(starts, "bucket int, first int"))
+    within = F.row_number().over(Window.partitionBy("bucket").orderBy("annotator_id"))
+    return names.join(places, "bucket").select("annotator_id", "n_judgments", (F.col("first") + within - 1).cast("int").alias("a"))
 
 
 def consensus(judgments: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:

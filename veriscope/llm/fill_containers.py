@@ -1,15 +1,16 @@
 """p8: filling containers of fixed capacity with documents, by conflict-constrained best fit.
 
 Documents are spread over blocks by a hash, so that each block has the same mixture of sizes, and each block is packed
-by itself in decreasing order of size. Its open containers are ordered by what is left in them (the residual); each
-carries one bitmap of the sources and clusters of copies in it. For a document the search goes to the smallest residual
-that holds it and on from there to the next ones until a container without a conflict is found: the tightest compatible
-one. Two documents of one cluster do not share a container, and two of one source only if the document would else need
-a new container.
-
-A cluster or source with more documents than a block needs containers could not be spread like that without wasting
-room. It is divided into as many parts as needed, and the rule holds within each part. Blocks hold some thousands of
-documents whatever the size of the table, so what they leave in their last containers is a fixed small share.
+by itself. Its open containers are ordered by what is left in them (the residual); each carries one bitmap of the
+sources and clusters of copies in it. For a document the search goes to the smallest residual that holds it and on from
+there to the next ones until a container without a conflict is found: the tightest compatible one. Where there is none,
+a new container is opened. No two documents of one source and no two copies share a container.
+
+Documents come in decreasing order of their size, weighted up by the share of the block's containers that their source
+will fill: those that are hard to place come while there is still a choice. A cluster or source with more documents than
+the block needs containers cannot be spread without containers beyond need. It is divided into as few parts as fit, and
+the rule holds within each part. Blocks hold some thousands of documents whatever the size of the table, so what they
+leave in their last containers is a fixed small share.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from veriscope.plans.shared import Workspace
 CAPACITY = 2048
 #: Documents aimed at in one block.
 BLOCK = 6000
-#: A source or cluster may fill this share of the containers that a block needs before it is divided.
-CROWDED = 0.5
+#: How much the share of the containers that a source fills adds to the weight of its documents.
+HARDNESS = 0.5
 
 
 class _Bins:
@@ -41,11 +42,9 @@ class _Bins:
         self.masks: list[int] = []
         self.fill: list[int] = []
 
-    def take(self, size: int, mask: int, hard: int) -> int:
-        """Container for a document: the tightest compatible one, else the tightest without a hard conflict, else a new one."""
+    def take(self, size: int, mask: int) -> int:
+        """Container for a document: the tightest compatible one, else a new one."""
         b = self._find(size, mask)
-        if b < 0 and hard != mask:
-            b = self._find(size, hard)
         if b < 0:
             b = len(self.masks)
             self.masks.append(0)
@@ -82,13 +81,13 @@ class _Bins:
 
 
 def _parts(values: list, sizes: list[int], most: int) -> dict:
-    """First bit and number of parts of each value that stands with more than one document."""
+    """First bit, number of parts, and number of documents met, of each value that stands with more than one document."""
     counts = Counter(v for v, n in zip(values, sizes) if v is not None and n > 0)
     out, bit = {}, 0
     for v, c in sorted(counts.items(), key=lambda x: (-x[1], str(x[0]))):
         if c > 1:
-            k = math.ceil(c / max(1, most))
-            out[v] = [bit, k, 0]
+            k = math.ceil(c / most)
+            out[v] = [bit, k, 0, c / k / most]
             bit += k
     return out
 
@@ -107,31 +106,29 @@ def pack(rows: list[tuple[int, int, str | None, int | None]], capacity: int = CA
             start, part = start + capacity, part + 1
         pieces.append((n - start, i, part, start))
     need = max(1, math.ceil(sum(p[0] for p in pieces) / capacity))
-    most = max(1, int(need * CROWDED))
     sizes = [r[1] for r in rows]
-    sources, clusters = _parts([r[2] for r in rows], sizes, most), _parts([r[3] for r in rows], sizes, most)
-    base = 1 + sum(x[1] for x in sources.values())
-    masks, hards = [], []
+    sources, clusters = _parts([r[2] for r in rows], sizes, need), _parts([r[3] for r in rows], sizes, need)
+    base = sum(x[1] for x in sources.values())
+    masks, weights = [], []
     for _, n, source, cluster in rows:
-        m = hard = 0
+        m, hard = 0, 0.0
         for table, value, first in ((sources, source, 0), (clusters, cluster, base)):
             x = table.get(value)
             if x is not None and n > 0:
-                bit = 1 << (first + x[0] + x[2] % x[1])
-                m |= bit
-                hard |= bit if first else 0
+                m |= 1 << (first + x[0] + x[2] % x[1])
+                hard = max(hard, x[3])
                 x[2] += 1
         masks.append(m)
-        hards.append(hard)
+        weights.append(1 + HARDNESS * hard)
     bins = _Bins(capacity)
     placed: list[list[int]] = []
     out = []
-    for size, i, part, start in sorted(pieces, key=lambda p: (-p[0], rows[p[1]][0] is None, rows[p[1]][0] or 0, p[2])):
+    for size, i, part, start in sorted(pieces, key=lambda p: (-p[0] * weights[p[1]], -p[0], rows[p[1]][0] is None, rows[p[1]][0] or 0, p[2])):
         if size == 0 and bins.masks:
             b = 0
         else:
-            # pieces of one document follow each other and do not conflict with themselves
-            b = bins.take(size, masks[i] if part == 0 else 0, hards[i] if part == 0 else 0)
+            # a full container has room for no other document, so the pieces that fill one conflict with nothing
+            b = bins.take(size, masks[i] if size < capacity else 0)
         while len(placed) <= b:
             placed.append([])
         placed[b].append(i)
@@ -163,6 +160,28 @@ def fill_containers(df: DataFrame, spark: SparkSession, key: str = "doc_id", tex
         base = block << 32
         return pa.table({"doc_id": pa.array([got[i][0] for i in cols[0]], table.schema.field("k").type), "part": pa.array(cols[1], pa.int32()), "token_start": pa.array(cols[2], pa.int32()), "n_tokens": pa.array(cols[3], pa.int32()), "container": pa.array([base + b for b in cols[4]], pa.int64()), "position": pa.array(cols[5], pa.int32())})
 
-    # the row number within equal keys keeps repeated rows from meeting in one block
-    spread = sized.withColumn("block", F.pmod(F.xxhash64("k", "n_tokens", F.when(F.col("k").isNull(), F.rand(1)).otherwise(0.0)), F.lit(blocks)))
-    return spread.groupBy("block").applyInArrow(run, _SCHEMA.format(kind=kind)).withColumnRenamed("doc_id", key)
+    # rows that repeat a key are dealt over the blocks too; few tables have any
+    repeated = sized.groupBy("k").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    if blocks > 1 and not repeated.isEmpty():
+        joined = sized.join(repeated.withColumnRenamed("k", "same"), F.col("k").eqNullSafe(F.col("same")), "left").drop("same")
+        sized = work.save(joined.withColumn("salt", F.when(F.col("times") > 1, F.floor(F.rand(1) * blocks)).otherwise(0)).drop("times"), "dealt")
+    else:
+        sized = sized.withColumn("salt", F.lit(0))
+    spread = sized.withColumn("block", F.pmod(F.xxhash64("k", "salt"), F.lit(blocks)))
+    return spread.drop("salt").groupBy("block").applyInArrow(run, _SCHEMA.format(kind=kind)).withColumnRenamed("doc_id", key)
+
+
+def audit(documents: DataFrame, placed: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY) -> DataFrame:
+    """``documents, over_capacity, split_within_capacity, gaps, shared_sources``: one row that says what a packing keeps, none
+    where nothing was placed.
+
+    ``gaps`` are documents whose parts do not follow each other from token 0; ``shared_sources`` are containers with two
+    documents of one source, of keys that are there once.
+    """
+    fill = placed.groupBy("container").agg(F.sum("n_tokens").alias("fill")).agg(F.count_if(F.col("fill") > capacity).alias("over_capacity"))
+    docs = placed.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    whole = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("n") <= capacity)).alias("split_within_capacity"), F.count_if(F.col("n") != F.col("end")).alias("gaps"))
+    of = documents.filter(F.col(source).isNotNull()).select(key, F.col(source).alias("s"))
+    met = placed.filter("n_tokens > 0").select(key, "container").distinct().join(of, key).groupBy("container", "s").count()
+    shared = met.agg(F.count_if(F.col("count") > 1).alias("shared_sources"))
+    return whole.crossJoin(fill).crossJoin(shared).filter("documents > 0")  # one row each

@@ -54,6 +54,8 @@ SLACK = 2.0
 GROUP_BYTES = 12_000_000
 #: Rows whose tokens are hashed at a time, and records compared at a time (both fit in a core's cache).
 ROWS_AT_ONCE, RECORDS_AT_ONCE = 1000, 20_000
+#: Pairs held by a task at a time.
+PAIRS_AT_ONCE = 1_000_000
 #: Leaves up to this size are compared together; rows of larger ones compared at a time.
 SMALL, BLOCK = 16, 64
 #: One packed record: leaf, representative, sketch, number of tokens.
@@ -321,20 +323,19 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return off
 
 
-def _compare(rec: np.ndarray, threshold: float, slack: float | None = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of representatives that share a leaf and whose sketches differ little. ``rec`` is sorted by leaf and size.
+def _met(rec: np.ndarray, threshold: float, slack: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs that share a leaf and whose sketches differ little. ``rec`` is sorted by leaf and size.
 
     In a leaf of any size each claim is compared with all others whose size allows the similarity. Small leaves are
     taken together, by distance in the sorted records; larger ones block by block.
     """
     if not len(rec):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     bound = _most_apart(threshold, slack)
-    leaf, rep, n = np.ascontiguousarray(rec["leaf"]), np.ascontiguousarray(rec["rep"]), rec["n"].astype(np.int64)
+    leaf, n = np.ascontiguousarray(rec["leaf"]), rec["n"].astype(np.int64)
     sketch = np.stack([np.ascontiguousarray(rec[f"s{w}"]) for w in range(SKETCH // 64)])
     starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(rec)])))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     for at in range(0, len(small), RECORDS_AT_ONCE):
@@ -346,7 +347,7 @@ def _compare(rec: np.ndarray, threshold: float, slack: float | None = SLACK) ->
                 break
             far = own + d
             near = _near(sketch[:, own], sketch[:, far]) <= bound[n[own] + n[far]]
-            found.append((own[near], far[near]))
+            yield own[near], far[near]
     for lo, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
         size = n[lo : lo + m]
         for at in range(0, m, BLOCK):
@@ -357,16 +358,35 @@ def _compare(rec: np.ndarray, threshold: float, slack: float | None = SLACK) ->
             later = j > i
             i, j = i[later], j[later]
             near = off[i, j] <= bound[size[at + i] + size[at + j]]
-            found.append((lo + at + i[near], lo + at + j[near]))
-    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    most = np.maximum(n[a], n[b])
-    fits = ((np.minimum(n[a], n[b]) >= threshold * most - 1e-9) | (most == 65535)) & (rep[a] != rep[b])
-    a, b = rep[a[fits]], rep[b[fits]]
-    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])
-    pairs = pairs[:, np.lexsort(pairs[::-1])]
-    keep = np.ones(pairs.shape[1], bool)
-    keep[1:] = (np.diff(pairs, axis=1) != 0).any(axis=0)
-    return pairs[0, keep], pairs[1, keep]
+            yield lo + at + i[near], lo + at + j[near]
+
+
+def _compared(rec: np.ndarray, threshold: float, slack: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of representatives, smaller first, some ``PAIRS_AT_ONCE`` at a time and without repeats among these."""
+    rep, n = np.ascontiguousarray(rec["rep"]), rec["n"].astype(np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
+    for got in chain(_met(rec, threshold, slack), [None]):
+        if got is not None:
+            held.append(got)
+            count += len(got[0])
+        if not held or (got is not None and count < PAIRS_AT_ONCE):
+            continue
+        a, b = (np.concatenate(x) for x in zip(*held))
+        held, count = [], 0
+        most = np.maximum(n[a], n[b])
+        fits = ((np.minimum(n[a], n[b]) >= threshold * most - 1e-9) | (most == 65535)) & (rep[a] != rep[b])
+        a, b = rep[a[fits]], rep[b[fits]]
+        pairs = np.stack([np.minimum(a, b), np.maximum(a, b)])
+        pairs = pairs[:, np.lexsort(pairs[::-1])]
+        keep = np.ones(pairs.shape[1], bool)
+        keep[1:] = (np.diff(pairs, axis=1) != 0).any(axis=0)
+        yield pairs[0, keep], pairs[1, keep]
+
+
+def _compare(rec: np.ndarray, threshold: float, slack: float | None = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    got = list(_compared(rec, threshold, slack)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    return tuple(np.concatenate(x) for x in zip(*got))
 
 
 def _leaf_join(threshold: float, slack: float | None):
@@ -377,8 +397,8 @@ def _leaf_join(threshold: float, slack: float | None):
         if blobs:
             rec = _unpack(blobs)
             rec = rec[np.argsort((rec["leaf"].astype(np.uint64) << np.uint64(16)) | rec["n"], kind="stable")]
-            a, b = _compare(rec, threshold, slack)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for a, b in _compared(rec, threshold, slack):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 

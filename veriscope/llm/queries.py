@@ -61,6 +61,12 @@ def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
     return assign_splits(_t(spark, sf, "gold"), spark)
 
 
+def p3_forest(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.related_splits import forest
+
+    return forest(_t(spark, sf, "gold"), spark)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.near_duplicates import similar_pairs
 
@@ -99,18 +105,38 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(_t(spark, sf, "documents"))
 
 
+def p7_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.tokenize_automaton import decode_documents, encode_documents
+
+    return decode_documents(encode_documents(_t(spark, sf, "documents")))
+
+
 def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.fill_containers import fill_containers
 
     return fill_containers(_t(spark, sf, "documents"), spark)
 
 
+def p8_audit(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.fill_containers import audit, fill_containers
+
+    documents = _t(spark, sf, "documents")
+    placed = Workspace(spark, "audit").save(fill_containers(documents, spark), "placed")
+    return audit(documents, placed)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.canonical_text import look_alike_pairs
 
     return look_alike_pairs(_t(spark, sf, "documents"), Workspace(spark, "look"))
 
 
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    from veriscope.llm.canonical_text import look_alike_classes
+
+    return look_alike_classes(_t(spark, sf, "documents"), Workspace(spark, "look"))
+
+
 def p9_canonical(spark: SparkSession, sf: str) -> DataFrame:
     from veriscope.llm.canonical_text import canonical_text
 
@@ -123,6 +149,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_audit": "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS over_capacity, 0::BIGINT AS split_within_capacity, 0::BIGINT AS gaps, 0::BIGINT AS shared_sources FROM documents",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p2_found": """
             SELECT source_key AS item_id FROM sources WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1500
             UNION SELECT chunk_id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1500""",

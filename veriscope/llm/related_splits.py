@@ -20,6 +20,10 @@ from veriscope.plans.shared import Workspace
 PLACEHOLDERS = ("", "-", "--", "?", "??", "n/a", "na", "none", "null", "nan", "unknown", "und", "undefined", "tbd")
 
 
+#: Edges of a node from which on it is dealt with in so many tasks.
+HUB, SALTS = 2_000_000, 32
+
+
 def usable(c: Column | str) -> Column:
     """The key, or null where it is missing or a placeholder."""
     c = F.col(c) if isinstance(c, str) else c
@@ -68,7 +72,7 @@ def spanning_forest(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataF
     while not live.isEmpty():
         weight = F.struct(F.xxhash64("ea", "eb"), "ea", "eb")
         ends = live.select("a", "b", weight.alias("w")).union(live.select(F.col("b").alias("a"), F.col("a").alias("b"), weight.alias("w")))
-        pick = ends.groupBy("a").agg(F.min_by(F.struct("b", "w"), "w").alias("x")).select("a", F.col("x.b").alias("to"), F.col("x.w.ea").alias("ea"), F.col("x.w.eb").alias("eb"))
+        pick = ends.groupBy("a").agg(F.min_by(F.struct("b", "w"), "w").alias("x"), F.count(F.lit(1)).alias("degree")).select("a", "degree", F.col("x.b").alias("to"), F.col("x.w.ea").alias("ea"), F.col("x.w.eb").alias("eb"))
         pick = work.save(pick, "pick")
         forests.append(work.save(pick.select("ea", "eb").distinct().select(F.col("ea").alias("a"), F.col("eb").alias("b"), F.lit(rounds).alias("round")), "forest"))
         # hook: of two that picked each other, the smaller becomes a root
@@ -86,8 +90,10 @@ def spanning_forest(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataF
                 break
         root = hook.select(F.col("a").alias("root"), F.col("to").alias("top"))
         new_labels = work.save(labels.join(root, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
-        ra, rb = hook.select("a", F.col("to").alias("na")), hook.select(F.col("a").alias("b"), F.col("to").alias("nb"))
-        merged = live.join(ra, "a").join(rb, "b").filter("na <> nb")
+        # of degree HUB or more there are at most two nodes for HUB edges, a bounded few
+        hubs = pick.filter(F.col("degree") >= HUB).select("a")
+        hubs = None if hubs.isEmpty() else hubs
+        merged = _with_top(_with_top(live, "a", hook, hubs), "b", hook, hubs).filter("na <> nb")
         lo, hi = F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")
         w = F.struct(F.xxhash64("ea", "eb"), "ea", "eb")
         shrunk = merged.select(lo, hi, w.alias("w")).groupBy("a", "b").agg(F.min("w").alias("w")).select("a", "b", F.col("w.ea").alias("ea"), F.col("w.eb").alias("eb"))
@@ -100,6 +106,24 @@ def spanning_forest(edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataF
     return labels, reduce(DataFrame.unionByName, forests, empty)
 
 
+def forest(gold: DataFrame, spark: SparkSession) -> DataFrame:
+    """``a, b, round``: the persisted spanning forest over the keys of the records, one row an edge."""
+    return spanning_forest(_edges(_record_keys(gold)), Workspace(spark, "forest"))[1]
+
+
+def _with_top(live: DataFrame, end: str, tops: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``live`` with ``n<end>``, the component of its end. The edges of a hub meet its component in ``SALTS`` tasks."""
+    tops = tops.select(F.col("a").alias(end), F.col("to").alias(f"n{end}"))
+    if hubs is None:
+        return live.join(tops, end)
+    hub = F.broadcast(hubs.select(F.col("a").alias(end), F.lit(True).alias("hub")))
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("ea", "eb"), F.lit(SALTS))).otherwise(0).cast("int")
+    left = live.join(hub, end, "left").withColumn("salt", salt).drop("hub")
+    salts = F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = tops.join(hub, end, "left").withColumn("salt", F.explode(salts)).drop("hub")
+    return left.join(right, [end, "salt"]).drop("salt")
+
+
 def units(gold: DataFrame, work: Workspace) -> DataFrame:
     """``row_id, group_id, stated, unit`` of every record; ``unit`` is the component's root key."""
     keys = work.save(_record_keys(gold), "keys")

@@ -32,6 +32,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept per worker; beyond that the table is started anew (results are the same, only slower).
 WORDS_KEPT = 400_000
+#: Arcs kept in the table, likewise.
+ARCS_KEPT = 2_000_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -65,8 +67,8 @@ class Automaton:
         for k, merge in enumerate(model["merges"], 1):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if w in born:
-                continue
+            if w in born:  # the gadgets know one way to make a label
+                raise ValueError(f"{a + b!r} is made by two merges")
             self._gadget(lost, u, v, w, 2 * k)
             born[w], parts[w] = 2 * k, (u, v)
         self._lost = lost
@@ -104,6 +106,8 @@ class Automaton:
         key = state * 1_048_576 + label
         known = self._arcs.get(key)
         if known is None:
+            if len(self._arcs) >= ARCS_KEPT:
+                self._arcs.clear()
             known = self._arcs[key] = self._build(state, label)
         return known
 
@@ -218,6 +222,19 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", tok
     return out.select(F.col("k").alias(key), "ids")
 
 
+def decode_documents(encoded: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
+    """``key, text`` from ``key, ids``: the labels of the arcs taken, put one after another. Null ids give null."""
+    kind = encoded.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, _ = automaton(tokenizer)
+        for batch in batches:
+            texts = [machine.decode(ids).decode("utf-8", "replace") if ids is not None else None for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["k", "text"])
+
+    return encoded.select(F.col(key).alias("k"), "ids").mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
+
+
 def count_tokens(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` (0 for null and empty texts)."""
     fields = [df.schema[c] for c in keep]
