@@ -167,7 +167,7 @@ def fill_containers(df: DataFrame, spark: SparkSession, key: str = "doc_id", tex
         sized = work.save(joined.withColumn("salt", F.when(F.col("times") > 1, F.floor(F.rand(1) * blocks)).otherwise(0)).drop("times"), "dealt")
     else:
         sized = sized.withColumn("salt", F.lit(0))
-    spread = sized.withColumn("block", F.pmod(F.xxhash64("k", "salt"), F.lit(blocks)))
+    spread = sized.withColumn("block", F.pmod(F.pmod(F.xxhash64("k"), F.lit(blocks)) + F.col("salt"), F.lit(blocks)))
     return spread.drop("salt").groupBy("block").applyInArrow(run, _SCHEMA.format(kind=kind)).withColumnRenamed("doc_id", key)
 
 
