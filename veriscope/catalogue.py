@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriscope.plans import q_eval, q_match, q_text  # noqa: F401  (they register themselves)
+from veriscope.plans import q_eval, q_match, q_more, q_text  # noqa: F401  (they register themselves)
 from veriscope.plans.registry import QUERIES, SQL
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def token_set(x: Column | str) -> Column:
 
 
 def char_ngrams(x: Column | str, lo: int = 3, hi: int = 5) -> Column:
-    """Character n-grams of ``#token#`` for each token of an accent-free lower-case text."""
+    """Character n-grams of ``#token#`` for each lower-case token."""
     marked = F.transform(tokens(x), lambda t: F.concat(F.lit("#"), t, F.lit("#")))
 
     def grams(t: Column) -> Column:
@@ -50,6 +52,42 @@ def char_ngrams(x: Column | str, lo: int = 3, hi: int = 5) -> Column:
     return F.flatten(F.transform(marked, grams))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Characters that are one other character without their marks, and these; by rule from the character database."""
+    pairs = []
+    for c in (*range(0xA0, 0x600), *range(0x1D00, 0x2100), *range(0x2160, 0x2190), *range(0xFF00, 0xFFF0)):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != chr(c):
+            pairs.append((chr(c), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def _marks() -> str:
+    """Character class of the combining marks, by rule from the character database."""
+    found = [c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]+"
+
+
+_MARKED, _PLAIN = _plain_letters()
+_MARKS = _marks()
+
+
+def strip_accents(x: Column | str) -> Column:
+    """Without accents and other combining marks; a character that would become several is left as it is."""
+    return F.regexp_replace(F.translate(_c(x), _MARKED, _PLAIN), _MARKS, "")
+
+
+def bare_ngrams(x: Column | str, lo: int = 3, hi: int = 5) -> Column:
+    """Character n-grams of the accent-free text."""
+    return char_ngrams(strip_accents(x), lo, hi)
+
+
 def char_windows(x: Column | str, size: int, overlap: int, most: int | None = None) -> Column:
     """Blind windows of ``size`` characters that overlap by ``overlap``; at most ``most`` of them."""
     x, step = _c(x), max(1, size - overlap)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.operators.evaluate import best_threshold, grid, measures, resample_weights, scan
 from veriscope.operators.features import logistic
-from veriscope.plans.shared import Workspace
+from veriscope.plans.shared import Workspace, read_text, write_text
 
 PREDICTORS = ("exact", "fuzzy", "bm25_recall", "semantic", "voters", "lexical_cosupport", "entity_absent", "nli_entail", "nli_contra")
 # Mean and standard deviation of the prior of the intercept and of each predictor.
@@ -21,6 +22,14 @@ PRIOR = {
 }
 
 
+# Stylised cases that say what the prior means. Each stands four times.
+ANCHOR_COLUMNS = ("grounded", "exact", "fuzzy", "bm25_recall", "semantic", "voters", "lexical_cosupport", "entity_absent")
+ANCHORS = (
+    (1, 1, 0.95, 0.8, 0.6, 0.75, 1, 0), (1, 0, 0.9, 0.7, 0.5, 0.5, 1, 0), (1, 0, 0, 0, 0.85, 0.25, 0, 0), (1, 0, 0, 0, 0.78, 0.25, 0, 0),
+    (0, 0, 0, 0, 0.18, 0.25, 0, 0), (0, 0, 0, 0, 0.05, 0, 0, 0), (0, 0, 0, 0, 0.3, 0.25, 0, 1),
+)
+
+
 @dataclass
 class Head:
     """A fitted logistic head: means and standard deviations of the coefficients, and a threshold."""
@@ -33,13 +42,11 @@ class Head:
         return logistic(self.mean.get("Intercept", 0.0), {k: v for k, v in self.mean.items() if k != "Intercept"})
 
     def save(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump({"engine": "calibrated", "threshold": self.threshold, "weights": self.mean, "sd": self.sd}, f, indent=1)
+        write_text(path, json.dumps({"engine": "calibrated", "threshold": self.threshold, "weights": self.mean, "sd": self.sd}, indent=1))
 
     @staticmethod
     def load(path: str) -> Head:
-        with open(path, encoding="utf-8") as f:
-            d = json.load(f)
+        d = json.loads(read_text(path))
         return Head(d["weights"], d.get("sd", {}), d.get("threshold", 0.5))
 
 
@@ -82,6 +89,35 @@ def fit(df: DataFrame, features: list[str], label: str, prior: dict[str, tuple[f
     return Head(dict(zip(names, map(float, beta))), dict(zip(names, map(float, np.sqrt(np.diag(cov))))))
 
 
+def anchor_frame(spark: SparkSession) -> DataFrame:
+    """``copy`` and the columns of the anchor rows: a small training set that encodes what the prior is to do."""
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in ANCHORS], ", ".join(f"{c} double" for c in ANCHOR_COLUMNS))
+    return rows.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("copy"), *ANCHOR_COLUMNS)
+
+
+def default_head(spark: SparkSession, threshold: float = 0.5) -> Head:
+    """The head without records: the prior, fitted to the anchor rows."""
+    rows = anchor_frame(spark)
+    head = fit(rows, varying(rows, [c for c in ANCHOR_COLUMNS if c != "grounded"]), "grounded", PRIOR)
+    head.threshold = threshold
+    return head
+
+
+def summary(spark: SparkSession, head: Head) -> DataFrame:
+    """``coefficient, mean, sd``, one row each."""
+    return spark.createDataFrame([(k, float(v), float(head.sd.get(k, 0.0))) for k, v in head.mean.items()], "coefficient string, mean double, sd double")
+
+
+def out_of_fold(df: DataFrame, features: list[str], label: str, group: str, key: str, folds: int = 3) -> DataFrame:
+    """``key, label, fold, probability`` of heads fitted without the record's group; rows with a null group are one group."""
+    rows = df.withColumn("fold", F.pmod(F.xxhash64(F.coalesce(F.col(group), F.lit(""))), F.lit(folds)).cast("int"))
+    parts = []
+    for k in range(folds):
+        head = fit(rows.filter(F.col("fold") != k), features, label)
+        parts.append(rows.filter(F.col("fold") == k).select(key, label, "fold", head.probability().alias("probability")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def update(head: Head, df: DataFrame, label: str) -> Head:
     """A refit with an earlier result as the prior."""
     features = [k for k in head.mean if k != "Intercept"]

@@ -30,6 +30,17 @@ UNKNOWN_RARITY = 9.0
 ANTONYMS = [("before", "after"), ("more", "less"), ("above", "below"), ("first", "last"), ("opened", "closed"), ("open", "closed"), ("high", "low"), ("increase", "decrease"), ("old", "new"), ("north", "south"), ("northern", "southern"), ("reliable", "unreliable"), ("confirmed", "unconfirmed"), ("nothing", "everything"), ("nobody", "everybody"), ("dry", "wet"), ("start", "stop"), ("agree", "disagree"), ("later", "earlier"), ("same", "different")]
 
 
+#: Claims against a source of one line: what they tell of is there, or it is not.
+PROBE = (
+    ("the harbour has a lighthouse", "The harbour has a lighthouse and two piers.", 1), ("there are two piers in the harbour", "The harbour has a lighthouse and two piers.", 1),
+    ("a cable car leads up to the fortress", "A cable car leads from the market up to the old fortress.", 1), ("the bridge was rebuilt in 1974", "The bridge was opened in 1911 and rebuilt in 1974.", 1),
+    ("the tunnel measures 640 metres", "The tunnel below the ridge measures 640 metres in all.", 1), ("chess tournaments", "Only about beekeeping.", 0),
+    ("the harbour has an oil terminal", "The harbour has a lighthouse and two piers.", 0), ("a museum of glass stands in the harbour", "The harbour has a lighthouse and two piers.", 0),
+    ("a ferry for tourists serves the harbour", "The harbour has a lighthouse and two piers.", 0), ("snowy mountain refuge", "Seven grey cats sleep under the warm stove.", 0),
+    ("the forest covers ninety hectares", "The forest covers thirty hectares on the north side.", 0), ("the bridge was opened in 1802", "The bridge was opened in 1911 and rebuilt in 1974.", 0),
+)
+
+
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
@@ -137,7 +148,7 @@ def low_tier(records: DataFrame, background: DataFrame, key: str = "row_id", cla
     best = asked.select(key, "_doc").join(best, [key, "_doc"], "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))
     r1 = best.join(recall, [key, "_doc", "chunk_no"], "left").select(key, F.coalesce("recall", F.lit(0.0)).alias("r1_direct"))
     top = bm25.rank_recalls(recall, key, "chunk_no").select(key, "oracle", F.col("second").alias("top3"))
-    grams = lambda x: T.char_ngrams(x)
+    grams = T.bare_ngrams
     gp = work.save(bm25.postings(chunks, "_doc", "chunk_no", analyzer=grams), "grams")
     gt, gc = (work.save(x, "gram-terms") for x in bm25.statistics(gp, "_doc", "chunk_no"))
     gs = bm25.scores(asked, gp, gt, gc, key, "_doc", "chunk_no", "_claim", grams).filter("score > 0")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriscope.functions import text as T
+from veriscope.operators.ranks import ranked
+
+
+RESAMPLING = ("oversample_minority", "undersample_majority", "oversample_foreign", "oversample_foreign_negatives")
 
 
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -19,7 +23,41 @@ def first_n(df: DataFrame, keys: list, order: list, n: int) -> DataFrame:
 
 def round_robin(df: DataFrame, keys: list, order: list, k: int) -> DataFrame:
     """Adds ``fold``: rows of a class dealt to ``k`` folds in turn."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) % k)
+    return ranked(df, keys, order).withColumn("fold", (F.col("_place") - 1) % k).drop("_place", "_rows")
+
+
+def halves(df: DataFrame, keys: list, order: list) -> DataFrame:
+    """Adds ``half``, 1 or 2: each class in two, the first one larger where they cannot be equal."""
+    return ranked(df, keys, order).withColumn("half", F.when(F.col("_place") * 2 <= F.col("_rows") + 1, 1).otherwise(2)).drop("_place", "_rows")
+
+
+def resampled(df: DataFrame, key: str, label: str, foreign: Column, modes: tuple[str, ...] = RESAMPLING) -> DataFrame:
+    """``mode`` and ``copies`` of each row, without rows that a mode leaves out.
+
+    ``oversample_minority`` and ``undersample_majority`` bring both classes to the larger and the smaller count,
+    ``oversample_foreign`` the rows with ``foreign`` to the number of the others, and ``oversample_foreign_negatives``
+    takes foreign rows of class 0 five times. Where copies must be uneven, rows come in the order of a digest of their key,
+    so the same rows are taken every time. Rows with a null label are left out.
+    """
+    rows = df.filter(F.col(label).isNotNull()).withColumns({"_foreign": F.coalesce(foreign, F.lit(False)), "_d": F.md5(F.col(key).cast("string"))})
+    one = ranked(rows, [label], ["_d", key]).withColumnsRenamed({"_place": "_pl", "_rows": "_nl"})
+    both = ranked(one, ["_foreign"], ["_d", key]).withColumnsRenamed({"_place": "_pf", "_rows": "_nf"})
+    sizes = rows.groupBy(label, "_foreign").agg(F.count(F.lit(1)).alias("c"))
+    most, least = sizes.groupBy(label).agg(F.sum("c").alias("c")).agg(F.max("c"), F.min("c")).first()
+    home = sizes.filter("not _foreign").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+
+    def up_to(target: int | None, place: str, n: str) -> Column:
+        t = F.lit(target or 0)
+        return F.floor(t / F.col(n)) + (F.col(place) <= t % F.col(n)).cast("int")
+
+    counts = {
+        "oversample_minority": up_to(most, "_pl", "_nl"),
+        "undersample_majority": up_to(least, "_pl", "_nl"),
+        "oversample_foreign": F.when(F.col("_foreign"), up_to(home, "_pf", "_nf")).otherwise(1),
+        "oversample_foreign_negatives": F.when(F.col("_foreign") & (F.col(label) == 0), 5).otherwise(1),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), counts[m].cast("bigint").alias("copies")) for m in modes]))
+    return both.withColumn("_m", each).select(*df.columns, "_m.mode", "_m.copies").filter("copies > 0")
 
 
 def build(records: DataFrame, prefix: str = "eval") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veriscope.config import Settings
 from veriscope.functions import text as T
-from veriscope.operators import calibrate, consistency, evaluate, features, gold, verdict
+from veriscope.operators import calibrate, consistency, evaluate, features, gold, ranks, verdict
 from veriscope.plans.registry import S_MACRO, S_MEASURES, S_SCORED, big, query, s_counts, s_norm, s_ratio, s_set, scored, table
 
 C = Settings(classifier_mode="absolute")
@@ -217,7 +217,10 @@ def _(spark, sf):
 
 @query("a19_quantiles_a31_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.avg("value"), 6).alias("mean"))
+    e = table(spark, sf, "events").select("event_type", "value")
+    q = ranks.quantiles(e, ["event_type"], "value", [0.5, 0.9]).groupBy("event_type").pivot("q", [0.5, 0.9]).agg(F.round(F.max("value"), 6)).toDF("t", "median", "p90")
+    mean = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return mean.join(q, F.col("event_type").eqNullSafe(F.col("t")), "left").select("event_type", "median", "p90", "mean")
 
 
 @query("a20_pivot", f"WITH {S_SCORED} SELECT lang_norm, round(avg(p) FILTER (WHERE role = 'eval'), 6) AS eval, round(avg(p) FILTER (WHERE role = 'augmentation'), 6) AS augmentation FROM scored GROUP BY 1")
@@ -457,8 +460,8 @@ def _(spark, sf):
 
 @query("c14_halves", "SELECT label, half, count(*) AS n FROM (SELECT label, ntile(2) OVER (PARTITION BY label ORDER BY md5(uid), uid) AS half FROM gold) GROUP BY 1, 2")
 def _(spark, sf):
-    g = table(spark, sf, "gold").withColumn("half", big(F.ntile(2).over(Window.partitionBy("label").orderBy(F.md5("uid"), "uid"))))
-    return g.groupBy("label", "half").agg(F.count(F.lit(1)).alias("n"))
+    g = table(spark, sf, "gold").select("label", "uid", F.md5("uid").alias("d"))
+    return gold.halves(g, ["label"], ["d", "uid"]).withColumn("half", big("half")).groupBy("label", "half").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c15_group_folds", None)

@@ -124,7 +124,7 @@ def _(spark, sf):
 
 @query("m9_ngram_recall", None)
 def _(spark, sf):
-    grams = lambda x: T.char_ngrams(x)
+    grams = T.bare_ngrams
     posts = bm25.postings(_passages(spark, sf), "group_id", "pid", analyzer=grams)
     return bm25.recalls(_claims(spark, sf), posts, *bm25.statistics(posts, "group_id", "pid"), "row_id", "group_id", "pid", analyzer=grams).groupBy("row_id").agg(F.round(F.max("recall"), 6).alias("recall"))
 

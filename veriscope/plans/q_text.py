@@ -207,9 +207,9 @@ def _(spark, sf):
 
 @query("e4_line_offsets", "WITH l AS (SELECT source_key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM sources WHERE text IS NOT NULL) SELECT source_key, line_no, (sum(length(line) + 1) OVER (PARTITION BY source_key ORDER BY line_no) - length(line) - 1)::BIGINT AS char_start FROM l")
 def _(spark, sf):
-    lines = F.split("text", "\n")
-    s = table(spark, sf, "sources").filter("text is not null").select("source_key", F.posexplode(F.expr("transform(sequence(1, size(split(text, '\n'))), lambda i: aggregate(slice(split(text, '\n'), 1, i - 1), 0, (a, x) -> a + length(x) + 1))")).alias("i", "char_start"))
-    del lines
+    # the running sum is kept in one array, so the text is gone through once
+    starts = F.aggregate(F.split("text", "\n"), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
+    s = table(spark, sf, "sources").filter("text is not null").select("source_key", F.posexplode(F.slice(starts, 1, F.size(starts) - 1)).alias("i", "char_start"))
     return s.select("source_key", big(F.col("i") + 1).alias("line_no"), big("char_start").alias("char_start"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is local.
+
+    On a cluster each executor would write to a disk of its own, so there an unset folder is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veriscope-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,9 +42,54 @@ class Workspace:
         out._veriscope_path = path  # type: ignore[attr-defined]
         return out
 
+    def close(self) -> None:
+        """Deletes all tables of this workspace; what has not been written elsewhere can no longer be read."""
+        _delete(self.spark, self.root)
+
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_veriscope_path", None)
         if path:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, path)
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def write_text(path: str, text: str) -> None:
+    """A small text to any path that Spark's session knows, or to a local file where there is no session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    p, fs = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(path: str) -> str:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    p, fs = _path(spark, path)
+    got = fs.open(p)
+    try:
+        return bytes(got.readAllBytes()).decode()
+    finally:
+        got.close()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriscope.functions.text import text_hash
+from veriscope.plans.shared import exists
 
 
 def parquet(df: DataFrame, path: str, *by: str) -> None:
@@ -36,10 +37,7 @@ def one_line(df: DataFrame) -> DataFrame:
 def cached_vectors(spark: SparkSession, texts: DataFrame, text: str, model: str, embed: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
     """``key, vec`` of all texts; only texts whose key (hash of model and text) the cache lacks are embedded."""
     asked = texts.select(text_hash(F.concat(F.lit(model), text)).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
-    try:
-        known = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001  no cache yet
-        known = spark.createDataFrame([], "key string, vec array<float>")
+    known = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], "key string, vec array<float>")
     fresh = embed(asked.join(known.select("key"), "key", "left_anti"))
     fresh.select("key", "vec").write.mode("append").parquet(path)
     return spark.read.parquet(path).join(asked.select("key"), "key", "left_semi")
@@ -50,12 +48,10 @@ def append_pending(spark: SparkSession, rows: DataFrame, key: str, path: str, wo
 
     A run that breaks off leaves what it committed, and the next one goes on from there.
     """
-    try:
-        done = spark.read.parquet(path).select(key).distinct()
-        todo = rows.join(done, key, "left_anti")
-    except Exception:  # noqa: BLE001  no output yet
-        todo = rows
-    before = 0
+    before, todo = 0, rows
+    if exists(spark, path):  # any other failure to read is one, and not "no output yet"
+        done = spark.read.parquet(path)
+        before, todo = done.count(), rows.join(done.select(key).distinct(), key, "left_anti")
     work(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path).count() - before
 
