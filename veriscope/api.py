@@ -2,65 +2,184 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from typing import Protocol
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriscope.config import Settings
 from veriscope.functions import entities as E
+from veriscope.functions import kernels as K
 from veriscope.operators import bm25, evaluate, matching, segment, verdict
+from veriscope.plans.shared import Workspace
+
+
+class SemanticLayer(Protocol):
+    def __call__(self, asked: DataFrame, texts: DataFrame) -> DataFrame:
+        """``qid, semantic_score, semantic_ratio, semantic_text, semantic_source`` from ``qid, group_id, claim`` and ``group_id, source_index, source_path, text``."""
+
+
+class EntailmentLayer(Protocol):
+    def __call__(self, premise: Column, claim: Column) -> Column:
+        """A struct ``entailment, neutral, contradiction`` of a pair of texts."""
+
+
+class VerdictHead(Protocol):
+    threshold: float
+
+    def probability(self) -> Column:
+        """Probability over the columns of ``verdict.calibrator_features``."""
+
+
+#: Claims of a group that meet a text together: a text is sent once for so many.
+BLOCK = 64
+#: Characters taken on either side of a fuzzy match when values are compared (fixed values).
+BEFORE, AFTER = 100, 200
+
+
+def _blocks(asked: DataFrame) -> DataFrame:
+    """``group_id, blk, of, qs``: the claims of a group in blocks of about ``BLOCK``, dealt by a hash; ``of`` is the number of blocks."""
+    sizes = asked.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("of"))
+    dealt = asked.join(sizes, "group_id").withColumn("blk", F.pmod(F.xxhash64("qid"), F.col("of")).cast("int"))
+    return dealt.groupBy("group_id", "of", "blk").agg(F.collect_list(F.struct("qid", "claim")).alias("qs"))
+
 
+_SCANNED = f"qid string, source_index int, source_path string, exact boolean, exact_location {matching._LOC}, exact_text string, fuzzy double, fuzzy_text string, fuzzy_location {matching._LOC}, around string, held array<string>"
+_SCANNED_PA = [("qid", pa.string()), ("source_index", pa.int32()), ("source_path", pa.string()), ("exact", pa.bool_()), ("exact_location", matching._LOC_PA), ("exact_text", pa.string()), ("fuzzy", pa.float64()), ("fuzzy_text", pa.string()), ("fuzzy_location", matching._LOC_PA), ("around", pa.string()), ("held", pa.list_(pa.string()))]
 
-def ground_batch(claims: DataFrame, sources: DataFrame, settings: Settings | None = None) -> DataFrame:
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact and fuzzy match, and the claim's names that the text holds, of each claim of a block with one text."""
+    for b in batches:
+        rows: list[tuple] = []
+        for qs, i, path, text in zip(b.column("qs").to_pylist(), *(b.column(n).to_pylist() for n in ("source_index", "source_path", "text"))):
+            low = text.lower()
+            for q in qs:
+                c = q["claim"] or ""
+                hit = K.exact_span(c, text) if c else None
+                score, s, e = (1.0, *hit) if hit else K.partial_ratio(c, text) if c else (0.0, 0, 0)
+                at = K.location(text, *hit) if hit else None
+                rows.append((q["qid"], i, path, hit is not None, at, text[slice(*hit)] if hit else None, score, text[s:e], at or K.location(text, s, e), text[max(0, s - BEFORE) : e + AFTER], [x for x in E.entities(c) if x.lower() in low]))
+        cols = list(zip(*rows)) or [()] * len(_SCANNED_PA)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(cols, _SCANNED_PA)], [n for n, _ in _SCANNED_PA])
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """``qid, numeric_mismatches, entity_mismatches, names`` of claims and their winning passages."""
+    pairs = pa.list_(pa.list_(pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(E.number_conflicts(c or "", p or "") if p else [], E.name_conflicts(c or "", p or "") if p else [], E.entities(c or "")) for c, p in zip(b.column("claim").to_pylist(), b.column("passage").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("qid"), *(pa.array([[list(x) for x in o[k]] for o in out], pairs) for k in (0, 1)), pa.array([o[2] for o in out], pa.list_(pa.string()))], ["qid", "numeric_mismatches", "entity_mismatches", "names"])
+
+    return rows.select("qid", "claim", "passage").mapInArrow(run, "qid string, numeric_mismatches array<array<string>>, entity_mismatches array<array<string>>, names array<string>")
+
+
+def ground_batch(
+    claims: DataFrame, sources: DataFrame, settings: Settings | None = None, *, semantic: SemanticLayer | None = None, nli: EntailmentLayer | None = None,
+    head: VerdictHead | None = None, primary_source: str | None = None,
+) -> DataFrame:
     """One row a claim with the scores of the layers, mismatches, verdict and provenance.
 
     ``claims``: ``claim_id, group_id, claim``; ``sources``: ``group_id, source_index, source_path, text``. A claim is
-    compared with the texts of its group only. Passages and term statistics are made once for a group, whatever its
-    number of claims. The fuzzy layer scans only the texts of a claim's group, in Arrow batches. Claims without sources
-    come out as ``none`` with scores of 0.
+    compared with the texts of its group only, and equal claims of a group once. The claims of a group meet its texts in
+    blocks, one text a row, so a hot group is many rows of many tasks; passages and term statistics are made once for a
+    group. Claims without sources come out as ``none`` with scores of 0; null claims score 0 everywhere.
+
+    Layers beyond the lexical ones are given as functions: ``semantic`` scores all claims, ``nli`` takes the best passage
+    as premise, and ``head`` decides by its probability over the calibrator's features in place of the fixed thresholds.
+    A contradiction, in values, names or entailment, comes first in any case.
     """
     c = settings or Settings()
+    work = Workspace(claims.sparkSession, "ground")
     texts = sources.filter(F.length("text") > 0).select("group_id", "source_index", "source_path", "text")
-    asked = claims.select("claim_id", "group_id", "claim")
-    pairs = asked.join(texts, "group_id")
-    layer = matching.fuzzy_and_exact(pairs, ["claim_id", "source_index", "source_path"])
-    best = layer.groupBy("claim_id").agg(
-        F.min(F.when(F.col("exact"), F.col("source_index"))).alias("exact_source"),
-        F.min_by("exact_location", F.when(F.col("exact"), F.col("source_index"))).alias("exact_location"),
-        F.min_by(F.struct("fuzzy", "fuzzy_text", "fuzzy_location", "source_index", "source_path"), F.struct(-F.col("fuzzy"), F.col("source_index"))).alias("f"),
+    known = claims.select("claim_id", "group_id", "claim", F.md5(F.concat_ws("\x1f", F.coalesce("group_id", F.lit("")), F.coalesce("claim", F.lit("")))).alias("qid"))
+    asked = work.save(known.filter("group_id is not null").groupBy("qid").agg(F.any_value("group_id").alias("group_id"), F.any_value("claim").alias("claim")), "asked")
+
+    blocks = work.save(_blocks(asked), "blocks")
+    spread = texts.join(blocks.select("group_id", "of").distinct(), "group_id").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+    met = spread.join(blocks, ["group_id", "blk"]).select("qs", "source_index", "source_path", "text")
+    layer = met.repartition(F.xxhash64(F.col("qs")[0]["qid"], "source_index")).mapInArrow(_scan, _SCANNED)
+    best = layer.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(F.struct("source_index", "source_path", F.col("exact_location").alias("location"), F.col("exact_text").alias("text")), F.when(F.col("exact"), F.col("source_index"))).alias("x"),
+        F.max("exact").alias("exact"),
+        F.min_by(F.struct("fuzzy", F.col("fuzzy_text").alias("text"), F.col("fuzzy_location").alias("location"), "around", "source_index", "source_path"), F.struct(-F.col("fuzzy"), F.col("source_index"))).alias("f"),
+        F.array_distinct(F.flatten(F.collect_set("held"))).alias("held"),
     )
-    parts = segment.passages(texts, ["group_id", "source_index"]).withColumn("pid", F.struct("source_index", "passage_no"))
-    won = bm25.best_passage(asked, parts, "claim_id", "group_id", "pid")
-    won = won.join(parts.select("group_id", "pid", F.col("text").alias("bm25_text")), ["group_id", "pid"]).select("claim_id", F.col("pid.source_index").alias("bm25_source"), "bm25_text", "normalised", "recall")
-    whole = texts.groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("source_index", "text")))["text"], "\n").alias("_all"), F.count(F.lit(1)).alias("_n"))
-    rows = asked.join(best, "claim_id", "left").join(won, "claim_id", "left").join(whole, "group_id", "left")
+    best = work.save(best, "best")
+
+    parts = work.save(segment.passages(texts, ["group_id", "source_index"]).select("group_id", F.struct("source_index", "passage_no").alias("pid"), "text"), "passages")
+    won = bm25.best_passage(asked, parts, "qid", "group_id", "pid", work=work)
+    won = won.join(parts.select("group_id", "pid", F.col("text").alias("bm25_text")), ["group_id", "pid"]).select("qid", F.col("pid.source_index").alias("bm25_source"), "bm25_text", "normalised", "recall")
+
+    rows = asked.join(best, "qid", "left").join(won, "qid", "left")
+    if semantic is not None:
+        rows = rows.join(semantic(asked, texts).select("qid", "semantic_score", "semantic_ratio", "semantic_text", "semantic_source"), "qid", "left")
+    else:
+        rows = rows.withColumns({"semantic_score": F.lit(0.0), "semantic_ratio": F.lit(0.0), "semantic_text": F.lit(None).cast("string"), "semantic_source": F.lit(None).cast("int")})
     zero = F.lit(0.0)
+    clamp = lambda x: F.least(F.lit(1.0), F.greatest(zero, F.coalesce(x, zero)))
     rows = rows.withColumns({
-        "exact_score": F.when(F.col("exact_source").isNotNull(), 1.0).otherwise(0.0), "fuzzy_score": F.coalesce("f.fuzzy", zero),
-        "bm25_score": F.coalesce("normalised", zero), "bm25_token_recall": F.coalesce("recall", zero), "semantic_score": zero, "semantic_ratio": zero,
+        "exact_score": F.when(F.col("exact"), 1.0).otherwise(0.0), "fuzzy_score": F.coalesce("f.fuzzy", zero),
+        "bm25_score": F.coalesce("normalised", zero), "bm25_token_recall": F.coalesce("recall", zero),
+        "semantic_score": clamp(F.col("semantic_score")), "semantic_ratio": F.coalesce("semantic_ratio", zero),
     })
     ex, fu, bm, rc, se, ra = (F.col(n) for n in ("exact_score", "fuzzy_score", "bm25_score", "bm25_token_recall", "semantic_score", "semantic_ratio"))
-    passage = verdict.winning_passage(ex, F.col("claim"), se, F.lit(""), bm, F.coalesce("bm25_text", F.lit("")), fu, F.coalesce("f.fuzzy_text", F.lit("")), F.when(F.col("_n") == 1, F.col("_all")))
-    rows = rows.withColumn("winning_passage", F.coalesce(passage, F.lit("")))
-
-    @F.pandas_udf("numeric array<array<string>>, names array<array<string>>, absent array<string>, entities int")
-    def compare(claim, best_text, all_text):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = [([list(x) for x in E.number_conflicts(a, b)], [list(x) for x in E.name_conflicts(a, b)], E.absent(a, t), len(E.entities(a))) for a, b, t in zip(claim.fillna(""), best_text.fillna(""), all_text.fillna(""))]
-        return pd.DataFrame(out, columns=["numeric", "names", "absent", "entities"])
-
-    rows = rows.withColumn("_m", compare("claim", "winning_passage", "_all"))
-    rows = rows.withColumns({"numeric_mismatches": F.col("_m.numeric"), "entity_mismatches": F.col("_m.names"), "entities_absent": F.col("_m.absent")})
-    agreed = verdict.entity_penalty(c, verdict.agreement(c, ex, fu, rc, se, ra), F.size("entities_absent"), F.col("_m.entities"))
+    empty = F.lit("")
+    passage = verdict.winning_passage(ex, F.col("x.text"), se, F.coalesce("semantic_text", empty), bm, F.coalesce("bm25_text", empty), fu, F.coalesce("f.around", empty), F.lit(None).cast("string"))
+    rows = work.save(rows.withColumn("passage", passage), "layers")
+    # the text itself where no layer has found a place and it is the group's only one
+    lone = rows.filter("passage is null and _n = 1").select("qid", "group_id").join(texts.select("group_id", F.col("text").alias("only")), "group_id").select("qid", "only")
+    rows = rows.join(lone, "qid", "left").withColumn("passage", F.coalesce("passage", "only")).drop("only")
+
+    rows = rows.join(_compared(rows), "qid").withColumn("entities_absent", F.array_except("names", F.coalesce("held", F.array().cast("array<string>"))))
+    rows = rows.withColumn("entities_absent", F.when(F.col("_n").isNull(), F.col("names")).otherwise(F.col("entities_absent")))
     contradicted = (F.size("numeric_mismatches") > 0) | (F.size("entity_mismatches") > 0)
+    signal = (ex > 0) | (fu > 0) | (bm > 0) | (se > 0)
+    entailed = None
+    if nli is not None:
+        premise = F.coalesce("bm25_text", "semantic_text", "x.text", "passage", empty)
+        rows = work.save(rows.withColumn("_nli", nli(premise, F.coalesce("claim", empty))), "entailment")
+        e, n, k = (F.col(f"_nli.{x}") for x in ("entailment", "neutral", "contradiction"))
+        contradicted, signal = contradicted | ((k > e) & (k > n)), F.lit(True)
+        entailed = (e >= n) & (e >= k)
+    agreed = verdict.entity_penalty(c, verdict.agreement(c, ex, fu, rc, se, ra), F.size("entities_absent"), F.size("names"))
     rows = rows.withColumn("agreement_score", agreed).withColumn("combined_score", verdict.combined(ex, fu, bm, se))
-    rows = rows.withColumn("match_type", verdict.cascade_verdict(c, ex, fu, bm, se, F.col("agreement_score"), contradicted))
-    supported = verdict.co_support(c, fu, rc)
-    rows = rows.withColumn("lexical_co_support", supported).withColumn("verification_reasons", verdict.verification_reasons(c, F.col("match_type"), fu, bm, se, F.lit(c.semantic_threshold), supported, F.size("entities_absent"), F.lit(False)))
-    source = F.when(F.col("match_type") == "exact", F.col("exact_source")).when(F.col("match_type") == "bm25", F.col("bm25_source")).otherwise(F.col("f.source_index"))
-    where = F.when(F.col("match_type") == "exact", F.col("exact_location")).otherwise(F.col("f.fuzzy_location"))
-    keep = ["claim_id", "group_id", "claim", "match_type", "exact_score", "fuzzy_score", "bm25_score", "bm25_token_recall", "semantic_score", "semantic_ratio", "agreement_score", "combined_score", "numeric_mismatches", "entity_mismatches", "entities_absent", "lexical_co_support", "verification_reasons"]
-    return rows.select(*keep, source.alias("source_index"), where.alias("location"), F.col("f.fuzzy_text").alias("matched_text"), (F.size("verification_reasons") > 0).alias("verification_needed"))
+    layer_name, supported = verdict.winning_layer(ex, fu, bm, se), verdict.co_support(c, fu, rc)
+    probability = F.lit(-1.0)
+    if head is not None:
+        feats = verdict.calibrator_features(c, ex, fu, rc, se, ra, supported, F.size("entities_absent"), F.size("names"))
+        if nli is not None:
+            feats |= {"nli_entail": F.col("_nli.entailment"), "nli_contra": F.col("_nli.contradiction")}
+        feats = {k: v.alias(k) for k, v in feats.items()}
+        scored = rows.select("qid", *feats.values()).select("qid", head.probability().alias("verdict_probability"))
+        rows = rows.join(scored, "qid")
+        probability = F.col("verdict_probability")
+        said = verdict.head_verdict(probability, F.lit(head.threshold), contradicted, signal, layer_name)
+    elif entailed is not None:
+        said = F.when(contradicted, "contradicted").when(entailed, layer_name).otherwise("none")
+    else:
+        said = verdict.cascade_verdict(c, ex, fu, bm, se, F.col("agreement_score"), contradicted)
+    rows = rows.withColumns({"match_type": said, "lexical_co_support": supported, "_p": probability})
+    source = F.when(F.col("match_type") == "exact", F.col("x.source_index")).when(F.col("match_type") == "bm25", F.col("bm25_source")).when(F.col("match_type") == "semantic", F.coalesce("semantic_source", "f.source_index")).otherwise(F.col("f.source_index"))
+    where = F.when(F.col("match_type") == "exact", F.col("x.location")).otherwise(F.col("f.location"))
+    elsewhere = F.lit(False) if primary_source is None else F.coalesce(F.when(F.col("match_type") == "exact", F.col("x.source_path")).otherwise(F.col("f.source_path")) != primary_source, F.lit(False))
+    reasons = verdict.verification_reasons(c, F.col("match_type"), fu, bm, se, F.lit(c.semantic_threshold), supported, F.size("entities_absent"), elsewhere)
+    if head is not None:
+        near = F.col("match_type").isin("exact", "fuzzy", "bm25", "semantic") & (F.abs(probability - head.threshold) < c.proximity)
+        reasons = F.when(near & ~F.array_contains(reasons, "near_threshold"), F.array_append(reasons, F.lit("near_threshold"))).otherwise(reasons)
+    keep = ["match_type", "exact_score", "fuzzy_score", "bm25_score", "bm25_token_recall", "semantic_score", "semantic_ratio", "agreement_score", "combined_score", "numeric_mismatches", "entity_mismatches", "entities_absent", "lexical_co_support"]
+    done = rows.select("qid", *keep, F.col("_p").alias("verdict_probability"), reasons.alias("verification_reasons"), source.alias("source_index"), where.alias("location"), F.col("f.text").alias("matched_text"))
+    out = known.join(done, "qid", "left").drop("qid")
+    none = {n: 0.0 for n in keep if n.endswith(("_score", "_ratio", "_recall"))} | {"match_type": "none", "lexical_co_support": False, "verdict_probability": -1.0}
+    out = out.fillna(none)
+    for n, kind in (("numeric_mismatches", "array<array<string>>"), ("entity_mismatches", "array<array<string>>"), ("entities_absent", "array<string>"), ("verification_reasons", "array<string>")):
+        out = out.withColumn(n, F.coalesce(n, F.array().cast(kind)))
+    return out.select("claim_id", "group_id", "claim", *keep, "verification_reasons", "source_index", "location", "matched_text", (F.size("verification_reasons") > 0).alias("verification_needed"), "verdict_probability")
 
 
 def with_adaptive_gap(matches: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriscope.functions import text as T
+from veriscope.plans.shared import Workspace
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -59,18 +60,32 @@ def recalls(claims: DataFrame, posts: DataFrame, terms: DataFrame, corpora: Data
     return held.join(whole, [claim_id, group]).select(claim_id, group, passage, share.alias("recall"))
 
 
-def best_passage(claims: DataFrame, passages: DataFrame, claim_id: str, group: str, passage: str, claim: str = "claim", text: str = "text", analyzer=T.tokens) -> DataFrame:
+def best_passage(claims: DataFrame, passages: DataFrame, claim_id: str, group: str, passage: str, claim: str = "claim", text: str = "text", analyzer=T.tokens, work: Workspace | None = None) -> DataFrame:
     """``claim_id, group, passage, score, normalised, recall``: the best passage of each claim that has one above 0.
 
     The first passage wins ties (scores are compared to nine digits). ``normalised`` is the score over the claim's
-    highest one, 1 for the winner.
+    highest one, 1 for the winner. Postings and statistics are written once, as several branches read them, and the recall
+    is measured on the winners alone.
     """
-    posts = postings(passages, group, passage, text, analyzer)
-    terms, corpora = statistics(posts, group, passage)
+    work = work or Workspace(claims.sparkSession, "bm25")
+    posts = work.save(postings(passages, group, passage, text, analyzer), "postings")
+    terms, corpora = (work.save(x, "statistics") for x in statistics(posts, group, passage))
     scored = scores(claims, posts, terms, corpora, claim_id, group, passage, claim, analyzer).filter("score > 0")
     # a claim's winner by aggregation: no sort of all its passages
     won = scored.groupBy(claim_id, group).agg(F.max("score").alias("score"), F.min_by(passage, F.struct(-F.col("score"), F.col(passage))).alias(passage))
-    return won.join(recalls(claims, posts, terms, corpora, claim_id, group, passage, claim, analyzer), [claim_id, group, passage]).select(claim_id, group, passage, "score", F.lit(1.0).alias("normalised"), "recall")
+    won = work.save(won, "winners")
+    return won.join(recall_of(won, claims, posts, terms, corpora, claim_id, group, passage, claim, analyzer), [claim_id, group, passage]).select(claim_id, group, passage, "score", F.lit(1.0).alias("normalised"), "recall")
+
+
+def recall_of(won: DataFrame, claims: DataFrame, posts: DataFrame, terms: DataFrame, corpora: DataFrame, claim_id: str, group: str, passage: str, claim: str = "claim", analyzer=T.tokens) -> DataFrame:
+    """As ``recalls``, for one passage a claim: ``claim_id, group, passage, recall``. A claim's terms meet no other passage."""
+    asked = claims.select(claim_id, group, F.explode(F.array_distinct(analyzer(claim))).alias("term"))
+    known = asked.join(terms.select(group, "term", "idf"), [group, "term"], "left").join(corpora.select(group, "max_idf"), group)
+    known = known.select(claim_id, group, "term", F.greatest(F.lit(0.0), F.coalesce("idf", "max_idf")).alias("w")).join(won.select(claim_id, group, passage), [claim_id, group])
+    held = known.join(posts.select(group, passage, "term", F.lit(True).alias("held")), [group, passage, "term"], "left")
+    sums = held.groupBy(claim_id, group, passage).agg(F.sum("w").alias("all_w"), F.count(F.lit(1)).alias("all_n"), F.sum(F.when(F.col("held"), F.col("w")).otherwise(0.0)).alias("w"), F.count_if("held").alias("n"))
+    share = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w")).otherwise(F.col("n") / F.col("all_n"))
+    return sums.select(claim_id, group, passage, share.alias("recall"))
 
 
 def rank_recalls(recall: DataFrame, claim_id: str, passage: str) -> DataFrame:

@@ -112,7 +112,12 @@ def adaptive_gap(df: DataFrame, key: str, score: str, order: str, bottom_half: b
     return gaps.groupBy(key).agg(F.max_by((F.col(score) + F.col("_next")) / 2, F.struct("gap", "_i")).alias("threshold"), F.max("gap").alias("gap"))
 
 
-def jenks(df: DataFrame, key: str, score: str, order: str, least: int = 2) -> DataFrame:
+def jenks(df: DataFrame, key: str, score: str, order: str) -> DataFrame:
+    """``key, threshold`` of the two-class cut."""
+    return jenks_cut(df, key, score, order).select(key, "threshold")
+
+
+def jenks_cut(df: DataFrame, key: str, score: str, order: str, least: int = 2) -> DataFrame:
     """``key, threshold, gap``: the cut into two classes with the least squared deviation (the first one on ties)."""
     s = F.col(score)
     rows = df.select(key, score, order).withColumns({"_x": s, "_xx": s * s})
@@ -194,7 +199,7 @@ def batch_thresholds(df: DataFrame, batch: str, score: str, order: str, label: s
     tuned = best_threshold(scan(df, [batch], score, label, grid(0.05, 0.95, 181)), [batch]).select(batch, F.lit("tuned").alias("strategy"), "threshold", F.lit(1.0).alias("gap"))
     gap = adaptive_gap(df, batch, score, order, bottom_half=False, least=least).select(batch, F.lit("gap").alias("strategy"), "threshold", "gap")
     bottom = adaptive_gap(df, batch, score, order, least=least).select(batch, F.lit("gap_bottom").alias("strategy"), "threshold", "gap")
-    cut = jenks(df, batch, score, order, least).select(batch, F.lit("jenks").alias("strategy"), "threshold", "gap")
+    cut = jenks_cut(df, batch, score, order, least).select(batch, F.lit("jenks").alias("strategy"), "threshold", "gap")
     flat = all_.select(batch, F.lit("fixed").alias("strategy"), F.lit(fixed).alias("threshold"), F.lit(1.0).alias("gap"))
     every = reduce(DataFrame.unionByName, [flat, tuned, gap, bottom, cut])
     return every.select(batch, "strategy", F.when(F.col("gap") < floor, fixed).otherwise(F.col("threshold")).alias("threshold"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -127,9 +127,51 @@ def best_chunks(records: DataFrame, key: str, claim: str = "claim", source: str
     return said.select(key, claim, source, F.coalesce("best", F.lit("")).alias("best"))
 
 
-def low_tier(records: DataFrame, background: DataFrame, key: str = "row_id", claim: str = "claim", source: str = "source_text") -> DataFrame:
+def tier(records: DataFrame, background: DataFrame, effort: str, claim_lang: str, source_lang: str, translate: Callable[[Column, Column], Column] | None = None, key: str = "row_id", claim: str = "claim", source: str = "source_text") -> DataFrame:
+    """The features of a tier (``low``, ``medium`` or ``high``) in the order of its head, with the languages from two columns.
+
+    ``translate`` makes a text of a claim and its language; it is asked for claims in a known language that is neither
+    English nor that of the source, and only in the high tier. Without it ``r1_mt`` is ``r1_direct``. A null language is
+    no known one. An antonym counts only where the best chunk is alike otherwise (fuzzy above .5).
+    """
+    low = low_tier(records, background, key, claim, source, keep=("_claim", "_best") if effort != "low" else ())
+    if effort == "low":
+        return low
+    lang, other = T.lang_base(claim_lang), T.lang_base(source_lang)
+    said = records.select(key, (lang == "en").alias("_en"), (lang == other).alias("_same"), lang.alias("_lang"), (lang.isNotNull() & ~lang.isin("en", "und", "") & ~F.coalesce(lang == other, F.lit(False))).alias("_asks"))
+    out = low.join(said, key).withColumns({
+        "is_en": F.coalesce("_en", F.lit(False)).cast("double"), "same_lang": F.coalesce("_same", F.lit(False)).cast("double"),
+        "wn_antonym_flip": F.coalesce(antonym_flip(F.col("_claim"), F.col("_best")) & (F.col("fuzzy") > 0.5), F.lit(False)).cast("double"),
+    })
+    if effort == "high":
+        if translate is None:
+            out = out.withColumn("r1_mt", F.col("r1_direct"))
+        else:
+            asked = records.join(said.filter("_asks").select(key, "_lang"), key).withColumn(claim, translate(F.col(claim), F.col("_lang")))
+            out = out.join(_direct_recall(asked, background, key, claim, source).withColumnRenamed("r1", "r1_mt"), key, "left").withColumn("r1_mt", F.coalesce("r1_mt", "r1_direct"))
+        out = out.withColumn("r1_best", F.greatest("r1_direct", "r1_mt"))
+    return out.select(key, *TIERS[effort])
+
+
+def _direct_recall(records: DataFrame, background: DataFrame, key: str, claim: str, source: str) -> DataFrame:
+    """``key, r1``: recall of each record's claim in the chunk that BM25 puts first, 0 where there is none."""
+    rec = records.select(key, F.col(claim).alias("_claim"), F.coalesce(F.col(source), F.lit("")).alias("_src")).withColumn("_doc", F.md5("_src"))
+    work = Workspace(records.sparkSession, "recall")
+    chunks = segment.view_chunks(rec.select("_doc", "_src").dropDuplicates(["_doc"]), ["_doc"], "_src")
+    posts = work.save(bm25.postings(chunks, "_doc", "chunk_no"), "postings")
+    terms, corpora = (work.save(x, "statistics") for x in bm25.statistics(posts, "_doc", "chunk_no"))
+    score = bm25.scores(rec, posts, terms, corpora, key, "_doc", "chunk_no", "_claim").filter("score > 0")
+    best = score.groupBy(key, "_doc").agg(F.min_by("chunk_no", F.struct(-F.col("score"), F.col("chunk_no"))).alias("chunk_no"))
+    best = rec.select(key, "_doc").join(best, [key, "_doc"], "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))
+    held = bm25.recalls(rec, posts, terms, corpora, key, "_doc", "chunk_no", "_claim", background=background)
+    return best.join(held, [key, "_doc", "chunk_no"], "left").select(key, F.coalesce("recall", F.lit(0.0)).alias("r1"))
+
+
+def low_tier(records: DataFrame, background: DataFrame, key: str = "row_id", claim: str = "claim", source: str = "source_text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The thirteen low-tier features of labelled records (claim with its own evidence text).
 
+    ``keep`` names what is given besides: ``_claim`` and ``_best``, the chunk that BM25 puts first.
+
     A record's evidence is chunked at 300 characters and is a corpus of its own. Chunks of records that share a text
     are made and counted once for the text (``_doc``), so a text with a third of all records costs one corpus.
     """
@@ -154,8 +196,11 @@ def low_tier(records: DataFrame, background: DataFrame, key: str = "row_id", cla
     gs = bm25.scores(asked, gp, gt, gc, key, "_doc", "chunk_no", "_claim", grams).filter("score > 0")
     gbest = gs.groupBy(key, "_doc").agg(F.min_by("chunk_no", F.struct(-F.col("score"), F.col("chunk_no"))).alias("chunk_no"))
     gbest = asked.select(key, "_doc").join(gbest, [key, "_doc"], "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))
-    charng = gbest.join(bm25.recalls(asked, gp, gt, gc, key, "_doc", "chunk_no", "_claim", grams), [key, "_doc", "chunk_no"], "left").select(key, F.coalesce("recall", F.lit(0.0)).alias("charng"))
+    gbest = work.save(gbest, "gram-winners")
+    charng = gbest.join(bm25.recall_of(gbest, asked, gp, gt, gc, key, "_doc", "chunk_no", "_claim", grams), [key, "_doc", "chunk_no"], "left").select(key, F.coalesce("recall", F.lit(0.0)).alias("charng"))
     texts = best.join(chunks.select("_doc", "chunk_no", F.col("text").alias("_best")), ["_doc", "chunk_no"], "left").select(key, "_best")
     pairs = work.save(rec.join(texts, key), "pairs")
     out = pair_features(pairs, key, "_claim", "_src", "_best").join(gap_rarity(pairs, background, key, "_claim", "_best"), key).join(r1, key).join(charng, key).join(top, key, "left").fillna(0.0, ["oracle", "top3"])
-    return out.select(key, *LOW)
+    if keep:
+        out = out.join(pairs.select(key, *keep), key)
+    return out.select(key, *LOW, *keep)

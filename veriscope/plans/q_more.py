@@ -233,6 +233,23 @@ def _(spark, sf):
     return models.out_of_fold(y, ["p", "n_words", "co"], "label", "group_id", "row_id", {"boosted": models.boosted(), "logistic": models.logistic()})
 
 
+def _tiers(spark, sf, effort, translate=None):
+    g = table(spark, sf, "gold").withColumn("det", F.lower("det_lang"))
+    s = table(spark, sf, "sources").filter("source_index = 0 and group_id <> ''").groupBy("group_id").agg(F.min("lang").alias("s_lang"))
+    rows = g.join(s, "group_id", "left").select("row_id", "claim", "source_text", "det", "s_lang")
+    return features.tier(rows, features.rarity(table(spark, sf, "sources")), effort, "det", "s_lang", translate).withColumn("probability", features.head(effort))
+
+
+@query("fp24_medium_tier_features")
+def _(spark, sf):
+    return _tiers(spark, sf, "medium")
+
+
+@query("fp24_high_tier_features_f5_translate")
+def _(spark, sf):
+    return _tiers(spark, sf, "high", lambda text, lang: F.lower(text))  # a translator's place
+
+
 @query("c38_short_source_probe")
 def _(spark, sf):
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(features.PROBE)], "row_id bigint, claim string, source_text string, label int")
@@ -335,6 +352,28 @@ def _(spark, sf):
     return table(spark, sf, "extracted_claims").select(words).distinct().select("w", T.phonetic("w").alias("skeleton"))
 
 
+# layers given from outside
+
+
+@query("x2_hooks_f1_f2_f3_p32_p34")
+def _(spark, sf):
+    """All layers, with stand-ins for the three that need a model: word overlap as cosine and as entailment, and the default head."""
+    from veriscope import api
+
+    def semantic(asked, texts):
+        first = texts.groupBy("group_id").agg(F.min_by(F.struct(F.substring("text", 1, 400).alias("t"), "source_index"), "source_index").alias("s"))
+        score = T.overlap(T.token_set("claim"), T.token_set("s.t"))
+        return asked.join(first, "group_id").select("qid", score.alias("semantic_score"), score.alias("semantic_ratio"), F.col("s.t").alias("semantic_text"), F.col("s.source_index").alias("semantic_source"))
+
+    def nli(premise, claim):
+        p = T.overlap(T.token_set(claim), T.token_set(premise))
+        return F.struct(p.alias("entailment"), ((1 - p) * 0.8).alias("neutral"), ((1 - p) * 0.2).alias("contradiction"))
+
+    g = table(spark, sf, "gold").select(F.col("row_id").alias("claim_id"), F.coalesce("group_id", F.lit("")).alias("group_id"), "claim")
+    out = api.ground_batch(g, table(spark, sf, "sources"), semantic=semantic, nli=nli, head=calibrate.default_head(spark))
+    return out.select("claim_id", "match_type", "semantic_score", "verdict_probability", "verification_needed")
+
+
 # files
 
 
