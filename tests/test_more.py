@@ -169,3 +169,33 @@ def test_core_queries_run_on_the_small_tables(spark):
             except Exception as e:  # noqa: BLE001
                 wrong.append((name, str(e)[:200]))
     assert wrong == []
+
+
+def test_commands_for_settings_and_calibration(spark, tmp_path, capsys):
+    import json
+
+    from veriscope.cli import main
+
+    assert main(["config"], spark) == 0 and json.loads(capsys.readouterr().out)["fuzzy_threshold"] == 0.85
+    rows = [{"claim": f"The pump number {i} was closed", "source_text": f"In spring the pump number {i} was closed. Then rain fell.", "label": 1, "lang": "en"} for i in range(6)]
+    rows += [{"claim": f"Tall towers stood in city {i}", "source_text": "Only fields and rivers are told of here.", "label": 0, "lang": "de"} for i in range(6)]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    head = str(tmp_path / "head.json")
+    assert main(["calibration", "fit", str(tmp_path / "r.jsonl"), head], spark) == 0 and main(["calibration", "eval", str(tmp_path / "r.jsonl"), head], spark) == 0
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert {r["scope"] for r in out} == {"all", "en", "de"} and next(r for r in out if r["scope"] == "all")["accuracy"] == 1.0
+    assert main(["calibration", "export", head], spark) == 0 and calibrate.Head.load(head).mean["exact"] > 3
+    assert main(["calibration"], spark) == 2
+
+
+def test_sets_meet_on_their_rarest_members(spark):
+    from veriscope.operators import consistency
+
+    rng = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda"]
+    lines = [", ".join(rng.sample(words, rng.randint(2, 5))) for _ in range(40)]
+    d = spark.createDataFrame([(1, "\n".join(f"Teams: {x}" for x in lines))], "k int, text string")
+    got = {(tuple(r["set_a"]), tuple(r["set_b"])) for r in consistency.set_pairs(d, "k").collect()}
+    sets = {(tuple(r["members"]), r["line"]) for r in consistency.sets(d, "k").collect()}
+    want = {(a, b) for a, i in sets for b, j in sets if (i, a) < (j, b) and len({*a} & {*b}) >= 0.5 * len({*a} | {*b})}
+    assert got == want and len(want) > 20

@@ -208,3 +208,19 @@ def grounding_documents(matches: DataFrame, by: str = "group_id") -> DataFrame:
     got = m.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "grounded").alias("grounded"), F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["claim_id"] < b["claim_id"], -1).when(a["claim_id"] > b["claim_id"], 1).otherwise(0)).alias("claims"))
     got = got.withColumn("ungrounded", F.col("total") - F.col("grounded"))
     return got.select(by, "total", "grounded", "ungrounded", F.to_json(F.struct(F.struct("total", "grounded", "ungrounded").alias("summary"), "claims")).alias("document"))
+
+
+def feature_frame(records: DataFrame, settings: Settings | None = None, key: str = "row_id") -> DataFrame:
+    """``key, grounded, lang`` and the calibrator's features of labelled records, each held against its own evidence.
+
+    Records that share an evidence text share its passages and statistics. Rows with a null label are left out.
+    """
+    c = settings or Settings()
+    rows = records.filter(F.col("label").isNotNull()).withColumn("group_id", F.md5(F.coalesce("source_text", F.lit(""))))
+    sources = rows.groupBy("group_id").agg(F.any_value("source_text").alias("text")).select("group_id", F.lit(0).alias("source_index"), F.lit("").alias("source_path"), "text")
+    got = ground_batch(rows.select(F.col(key).alias("claim_id"), "group_id", "claim"), sources, c)
+    names = F.size("entities_absent")
+    feats = verdict.calibrator_features(c, *(F.col(n) for n in ("exact_score", "fuzzy_score", "bm25_token_recall", "semantic_score", "semantic_ratio")), F.col("lexical_co_support"), names, F.greatest(names, F.lit(1)))
+    lang = F.col("lang") if "lang" in records.columns else F.lit(None).cast("string")
+    said = rows.select(F.col(key).alias("claim_id"), F.col("label").cast("double").alias("grounded"), lang.alias("lang"))
+    return got.select("claim_id", *(v.cast("double").alias(k) for k, v in feats.items())).join(said, "claim_id").withColumnRenamed("claim_id", key)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +13,9 @@ VALUE = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 UNIT = r"%|percent|[kKmMbB]|GB|TB|s|h|px|em|rem|pt|g|lbs|cm|USD|EUR"
 CONTEXT = r"[A-Za-z][A-Za-z\-]{2,}"
 NUMBER = rf"({VALUE})\s*({UNIT})?(?:\s*({CONTEXT}))?"
-NO_CONTEXT = "and or but the a an of in on at to for with by from as is was were are be been that this these those then than per".split()
+NO_CONTEXT = [
+    "and", "or", "but", "the", "a", "an", "of", "in", "on", "at", "to", "for", "with", "by", "from", "as", "is", "was", "were", "are", "be", "been", "that", "this", "these", "those", "then", "than", "per",
+]
 YEAR = r"1[5-9]\d{2}|20\d{2}"
 COMPARATIVE = (
     r"(?:more than|greater than|over|above|at least|at most|no more than|no fewer than|less than|fewer than|under|below|up to|nearly|"
@@ -29,7 +30,10 @@ NAMES = {
     "cloud": ["AWS", "Azure", "GCP", "OCI"],
     "database": ["PostgreSQL", "MySQL", "MongoDB", "Cassandra", "DynamoDB", "SQLite", "Redis"],
 }
-PLAIN_CAPITALS = "The This That These Those A An And Or But If When Where While I We You They He She It Our Their My Your His Her".split()
+# Words whose capital says nothing.
+PLAIN_CAPITALS = [
+    "The", "This", "That", "These", "Those", "A", "An", "And", "Or", "But", "If", "When", "Where", "While", "I", "We", "You", "They", "He", "She", "It", "Our", "Their", "My", "Your", "His", "Her",
+]
 NUMBER_RUN = r"\d[\d.,   ]*\d|\d"
 
 _NUMBER, _YEAR, _COMPARATIVE = re.compile(NUMBER), re.compile(rf"\b(?:{YEAR})\b"), re.compile(rf"{COMPARATIVE}({VALUE})", re.I)
@@ -91,29 +95,28 @@ def absent(claim: str, source: str) -> list[str]:
     return [e for e in entities(claim) if e.lower() not in low]
 
 
+def _like(there: list[tuple[str, str, str]], unit: str, context: str) -> list[str]:
+    """Values with this unit and this context; an empty one is any."""
+    return [v for v, u, w in there if unit in ("", u) and context in ("", w)]
+
+
 def number_conflicts(claim: str, passage: str) -> list[tuple[str, str]]:
     """Pairs of a claim's and a passage's value for the same unit and context.
 
-    Both sides must have a key in common: unit and context, else the unit, else the context. The claim must have one
-    value under the key; bounds (``over 5000``) never conflict, nor does a value the passage has as well.
+    A claim's number is held against the passage's numbers of its unit and context, where there are none against those
+    of its unit, and then of its context. It must be the only one held against these; bounds (``over 5000``) never
+    conflict, nor does a value that is among them.
     """
-    there: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for v, u, w in numbers(passage):
-        for key in [(u, w)] + ([(u, "")] if u else []) + ([("", w)] if w else []):
-            there[key].append(v)
-    here: dict[tuple[str, str], list[str]] = defaultdict(list)
+    there, held = numbers(passage), {}
     for v, u, w in numbers(claim):
-        key = next((k for k in ((u, w), (u, ""), ("", w)) if k != ("", "") and k in there), None)
-        if key:
-            here[key].append(v)
-    loose_here, loose_there = comparatives(claim), comparatives(passage)
-    out = []
-    for key, values in here.items():
-        if len(values) == 1 and values[0] not in loose_here and values[0] not in there[key]:
-            firm = [v for v in there[key] if v not in loose_there]
-            if firm:
-                out.append((values[0], firm[0]))
-    return out
+        for want in dict.fromkeys(((u, w), (u, ""), ("", w))):
+            met = _like(there, *want) if any(want) else []
+            if met:
+                held.setdefault(want, (met, []))[1].append(v)
+                break
+    alone = [(met, mine[0]) for met, mine in held.values() if len(mine) == 1 and mine[0] not in met and mine[0] not in comparatives(claim)]
+    firm = [(mine, [v for v in met if v not in comparatives(passage)]) for met, mine in alone]
+    return [(mine, values[0]) for mine, values in firm if values]
 
 
 def name_conflicts(claim: str, passage: str) -> list[tuple[str, str]]:

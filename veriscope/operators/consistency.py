@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriscope.functions import entities as E
 from veriscope.operators.segment import lines
+from veriscope.plans.shared import Workspace
 
 # How enumerations are written, and words that are no members.
 _JOIN = r"\s*(?:,\s+and\s+|,\s+or\s+|,|\s+and\s+|\s+or\s+|/|\s+&\s+)\s*"
 _WORD = r"[A-Za-z][A-Za-z\-]{1,20}"
-GENERIC = "and or the a an of to in on is are be for with without such also".split()
+GENERIC = ["and", "or", "the", "a", "an", "of", "to", "in", "on", "is", "are", "be", "for", "with", "without", "such", "also"]
 
 
 def numeric(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -35,11 +36,17 @@ def sets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def set_pairs(docs: DataFrame, key: str, text: str = "text", least: float = 0.5) -> DataFrame:
     """Pairs of different sets of a document that share at least half of their members, joined on a shared member.
 
-    A member in very many sets of one document would pair them all; enumerations have at most six members, so sets
-    that share half of them are found over their rarer members too, and each pair is kept once.
+    A member in very many sets of one document would pair them all, so sets meet on their rarest members only: as many
+    as it takes that no pair alike enough is missed. Each pair is kept once.
     """
-    s = sets(docs, key, text)
-    m = s.select(key, "members", "line", F.explode("members").alias("_m"))
+    s = Workspace(docs.sparkSession, "sets").save(sets(docs, key, text), "sets")
+    each = s.select(key, "members", "line", F.explode("members").alias("_m"))
+    often = each.groupBy(key, "_m").agg(F.count(F.lit(1)).alias("_f"))
+    # two sets that share at least the share ``least`` of their union have in common one of the rarest of either: all but so many
+    # members may be passed over in a set of n that n * least, rounded up, less one remain
+    place = F.row_number().over(Window.partitionBy(key, "members").orderBy("_f", "_m"))
+    m = each.join(often, [key, "_m"]).withColumn("_place", place)
+    m = m.filter(F.col("_place") <= F.size("members") - F.ceil(F.size("members") * F.lit(least)) + 1).select(key, "members", "line", "_m")
     a, b = m.alias("a"), m.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._m") == F.col("b._m")) & (F.struct("a.line", "a.members") < F.struct("b.line", "b.members")))
     pairs = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.members").alias("set_a"), F.col("a.line").alias("line_a"), F.col("b.members").alias("set_b"), F.col("b.line").alias("line_b")).distinct()
