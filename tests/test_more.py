@@ -159,13 +159,16 @@ SLOW = ("c1_", "c28_", "fp24_", "x2_", "x3_", "c38_", "c23_", "c15_", "c4_", "c2
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no small tables here")
 def test_core_queries_run_on_the_small_tables(spark):
+    """Every query is planned, and those run that no SQL is held against; with ``VERISCOPE_ALL`` all of them run."""
     from veriscope import catalogue
 
-    wrong = []
+    wrong, sql, every = [], catalogue.oracle_sql(), "VERISCOPE_ALL" in os.environ
     for name, q in catalogue.queries().items():
         if not name.startswith(SLOW):  # fits and whole passes have tests of their own
             try:
-                q(spark, SMALL).write.format("noop").mode("overwrite").save()
+                df = q(spark, SMALL)
+                if every or name not in sql:
+                    df.write.format("noop").mode("overwrite").save()
             except Exception as e:  # noqa: BLE001
                 wrong.append((name, str(e)[:200]))
     assert wrong == []

@@ -123,7 +123,7 @@ def _(spark, sf):
     return g.dropna(subset=["group_id", "source_text"]).select("uid", "lang")
 
 
-@query("fp60_reindex_fp61_varying", f"WITH {S_SCORED} SELECT row_id, p AS exact, 0.0 AS nli_entail FROM scored")
+@query("fp60_reindex", f"WITH {S_SCORED} SELECT row_id, p AS exact, 0.0 AS nli_entail FROM scored")
 def _(spark, sf):
     s = scored(spark, sf).withColumnRenamed("p", "exact")
     have = [f for f in ("exact", "nli_entail") if f in s.columns]
@@ -215,7 +215,7 @@ def _(spark, sf):
     return _said(spark, sf).groupBy("lang_norm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean"), F.round(F.avg((F.col("said") == 0).cast("int")), 6).alias("rejected"))
 
 
-@query("a19_quantiles_a31_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query("a19_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_type", "value")
     q = ranks.quantiles(e, ["event_type"], "value", [0.5, 0.9]).groupBy("event_type").pivot("q", [0.5, 0.9]).agg(F.round(F.max("value"), 6)).toDF("t", "median", "p90")
@@ -229,7 +229,7 @@ def _(spark, sf):
     return m.select("lang_norm", F.round("eval", 6).alias("eval"), F.round("augmentation", 6).alias("augmentation"))
 
 
-@query("a21_posterior", f"WITH {S_SCORED} SELECT lang_norm, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS sd FROM scored GROUP BY 1")
+@query("a18_mean_and_sd", f"WITH {S_SCORED} SELECT lang_norm, round(avg(p), 6) AS mean, round(stddev_samp(p), 6) AS sd FROM scored GROUP BY 1")
 def _(spark, sf):
     return scored(spark, sf).groupBy("lang_norm").agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.stddev("p"), 6).alias("sd"))
 
@@ -259,12 +259,12 @@ def _(spark, sf):
     return consistency.report(consistency.check(table(spark, sf, "documents"), "doc_id"), "doc_id")
 
 
-@query("a27_decomposition", f"{_SAID} SELECT group_id, round(min(p), 6) AS least, max((said = 0)::INT) AS any_miss, sum(said)::BIGINT AS k, count(*) AS n FROM z GROUP BY 1")
+@query("a15_least_and_missed", f"{_SAID} SELECT group_id, round(min(p), 6) AS least, max((said = 0)::INT) AS any_miss, sum(said)::BIGINT AS k, count(*) AS n FROM z GROUP BY 1")
 def _(spark, sf):
     return _said(spark, sf).groupBy("group_id").agg(F.round(F.min("p"), 6).alias("least"), F.max((F.col("said") == 0).cast("int")).alias("any_miss"), F.sum("said").alias("k"), F.count(F.lit(1)).alias("n"))
 
 
-@query("a28_composite_a29_cv_a30_gap", f"{_SAID}, c AS (SELECT lang_norm, {s_counts()}, min(p) FILTER (WHERE label = 1) AS lo, max(p) FILTER (WHERE label = 0) AS hi FROM z GROUP BY 1) SELECT lang_norm, round({s_ratio('tp+tn', 'tp+fp+fn+tn')} + 0.25 * {s_ratio('tp', 'tp+fn')} + 0.25 * least(1.0, greatest(0.0, coalesce(lo - hi, 0) / 0.1)), 6) AS score FROM c")
+@query("a5_blended_score", f"{_SAID}, c AS (SELECT lang_norm, {s_counts()}, min(p) FILTER (WHERE label = 1) AS lo, max(p) FILTER (WHERE label = 0) AS hi FROM z GROUP BY 1) SELECT lang_norm, round({s_ratio('tp+tn', 'tp+fp+fn+tn')} + 0.25 * {s_ratio('tp', 'tp+fn')} + 0.25 * least(1.0, greatest(0.0, coalesce(lo - hi, 0) / 0.1)), 6) AS score FROM c")
 def _(spark, sf):
     z = _said(spark, sf)
     gap = z.groupBy("lang_norm").agg(F.min(F.when(F.col("label") == 1, F.col("p"))).alias("lo"), F.max(F.when(F.col("label") == 0, F.col("p"))).alias("hi"))
@@ -331,7 +331,7 @@ def _(spark, sf):
     return evaluate.adaptive_gap(scored(spark, sf), "lang_norm", "p", "row_id", bottom_half=False).select("lang_norm", "gap")
 
 
-@query("w5_jenks_c36", f"""WITH {S_SCORED}, t AS (SELECT lang_norm, p, row_number() OVER w AS i, sum(p) OVER w AS s, sum(p * p) OVER w AS q, count(*) OVER a AS n, sum(p) OVER a AS ss, sum(p * p) OVER a AS qq, lead(p) OVER w AS nx FROM scored WINDOW w AS (PARTITION BY lang_norm ORDER BY p, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY lang_norm))
+@query("w5_jenks", f"""WITH {S_SCORED}, t AS (SELECT lang_norm, p, row_number() OVER w AS i, sum(p) OVER w AS s, sum(p * p) OVER w AS q, count(*) OVER a AS n, sum(p) OVER a AS ss, sum(p * p) OVER a AS qq, lead(p) OVER w AS nx FROM scored WINDOW w AS (PARTITION BY lang_norm ORDER BY p, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY lang_norm))
  SELECT lang_norm, round(min(round(q - s * s / i + (qq - q) - (ss - s) * (ss - s) / (n - i), 9)), 5) AS sse FROM t WHERE nx IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
     from pyspark.sql import Window as W
@@ -342,7 +342,7 @@ def _(spark, sf):
     return s.withColumn("d", (F.col("p") - m) * (F.col("p") - m)).groupBy("lang_norm").agg(F.round(F.sum("d"), 5).alias("sse"))
 
 
-@query("w7_ids_w10_first", f"SELECT md5({s_norm('claim')}) AS k, arg_min(uid, row_id) AS uid FROM gold WHERE claim IS NOT NULL GROUP BY 1")
+@query("w10_first", f"SELECT md5({s_norm('claim')}) AS k, arg_min(uid, row_id) AS uid FROM gold WHERE claim IS NOT NULL GROUP BY 1")
 def _(spark, sf):
     g = table(spark, sf, "gold").filter("claim is not null").withColumn("k", F.md5(T.normalize_whitespace("claim")))
     return gold.first_by(g, ["k"], ["row_id"]).select("k", "uid")
@@ -354,7 +354,7 @@ def _(spark, sf):
     return table(spark, sf, "judgments").select("judgment_id", "uid", big(F.row_number().over(w)).alias("n"))
 
 
-@query("w9_islands", "SELECT doc_id, sum((trim(line) = '')::INT)::BIGINT AS blanks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+@query("t3_blank_lines", "SELECT doc_id, sum((trim(line) = '')::INT)::BIGINT AS blanks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1")
 def _(spark, sf):
     d = table(spark, sf, "documents").filter("text is not null")
     return d.select("doc_id", big(F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) == ""))).alias("blanks"))
@@ -365,12 +365,12 @@ def _(spark, sf):
     return gold.first_n(table(spark, sf, "gold").filter("label is not null"), ["label"], ["row_id"], 100).select("uid", "label")
 
 
-@query("w12_folds_c31_halves", "SELECT uid, (row_number() OVER (PARTITION BY label ORDER BY row_id) - 1) % 5 AS fold FROM gold")
+@query("w12_folds", "SELECT uid, (row_number() OVER (PARTITION BY label ORDER BY row_id) - 1) % 5 AS fold FROM gold")
 def _(spark, sf):
     return gold.round_robin(table(spark, sf, "gold"), ["label"], ["row_id"], 5).select("uid", big("fold").alias("fold"))
 
 
-@query("o3_by_length_o4_ranked", f"WITH {S_SCORED}, m AS (SELECT lang_norm, count(*) AS n, round(avg(p), 6) AS mean FROM scored GROUP BY 1) SELECT lang_norm, n, row_number() OVER (ORDER BY mean DESC, lang_norm) AS rank FROM m")
+@query("o4_ranked", f"WITH {S_SCORED}, m AS (SELECT lang_norm, count(*) AS n, round(avg(p), 6) AS mean FROM scored GROUP BY 1) SELECT lang_norm, n, row_number() OVER (ORDER BY mean DESC, lang_norm) AS rank FROM m")
 def _(spark, sf):
     m = scored(spark, sf).groupBy("lang_norm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean"))
     return m.select("lang_norm", "n", big(F.row_number().over(Window.orderBy(F.desc("mean"), "lang_norm"))).alias("rank"))  # a row a language
@@ -417,7 +417,7 @@ def _(spark, sf):
     return table(spark, sf, "judgments").groupBy("uid").agg((F.count_distinct("annotator_id") >= 3).alias("complete"))
 
 
-@query("u8_minority_c6_c30_replicated", "SELECT uid, label, unnest(range(1, CASE WHEN label = 0 THEN 3 ELSE 2 END)) AS copy FROM gold WHERE label IS NOT NULL")
+@query("u8_c30_replicated", "SELECT uid, label, unnest(range(1, CASE WHEN label = 0 THEN 3 ELSE 2 END)) AS copy FROM gold WHERE label IS NOT NULL")
 def _(spark, sf):
     r = gold.replicate(table(spark, sf, "gold").filter("label is not null"), "label", {0: 2})
     return r.select("uid", "label", big("copy").alias("copy"))
@@ -444,7 +444,7 @@ def _(spark, sf):
     return evaluate.best_threshold(c, ["lang_norm"])
 
 
-@query("c13_leave_one_out_c32_c16", f"WITH {S_SCORED}, {_grid_sql(0.2, 0.8, 13)}, k AS (SELECT DISTINCT lang_norm AS held FROM scored WHERE label IS NOT NULL), z AS (SELECT held, threshold, label, (p >= threshold)::INT AS said FROM scored JOIN k ON lang_norm <> held CROSS JOIN g WHERE label IS NOT NULL), c AS (SELECT held, threshold, {s_counts()} FROM z GROUP BY 1, 2), m AS (SELECT held, threshold, {S_MACRO} AS macro_f1 FROM c) SELECT held AS lang_norm, {_BEST} FROM m GROUP BY 1")
+@query("c13_leave_one_out", f"WITH {S_SCORED}, {_grid_sql(0.2, 0.8, 13)}, k AS (SELECT DISTINCT lang_norm AS held FROM scored WHERE label IS NOT NULL), z AS (SELECT held, threshold, label, (p >= threshold)::INT AS said FROM scored JOIN k ON lang_norm <> held CROSS JOIN g WHERE label IS NOT NULL), c AS (SELECT held, threshold, {s_counts()} FROM z GROUP BY 1, 2), m AS (SELECT held, threshold, {S_MACRO} AS macro_f1 FROM c) SELECT held AS lang_norm, {_BEST} FROM m GROUP BY 1")
 def _(spark, sf):
     return evaluate.leave_one_out(scored(spark, sf), "lang_norm", "p", "label", evaluate.grid(0.2, 0.8, 13))
 
@@ -475,7 +475,7 @@ def _(spark, sf):
     return out
 
 
-@query("c18_band_sweep_c19_c20", f"WITH {S_SCORED}, q AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.7, 0.8, 0.9]) AS q FROM scored WHERE label IS NOT NULL), b AS (SELECT unnest(q[1:3]) AS lo, q FROM q), bb AS (SELECT lo, unnest(q[4:6]) AS hi FROM b), z AS (SELECT lo, hi, label, (CASE WHEN p < lo THEN 0 WHEN p > hi THEN 1 ELSE (n_words >= 15)::INT END) AS said, (p BETWEEN lo AND hi)::INT AS esc FROM scored, bb WHERE label IS NOT NULL), c AS (SELECT lo, hi, {s_counts()}, avg(esc) AS share FROM z GROUP BY 1, 2) SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, {S_MACRO} AS macro_f1, round(share, 6) AS share FROM c")
+@query("c18_nine_bands", f"WITH {S_SCORED}, q AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.7, 0.8, 0.9]) AS q FROM scored WHERE label IS NOT NULL), b AS (SELECT unnest(q[1:3]) AS lo, q FROM q), bb AS (SELECT lo, unnest(q[4:6]) AS hi FROM b), z AS (SELECT lo, hi, label, (CASE WHEN p < lo THEN 0 WHEN p > hi THEN 1 ELSE (n_words >= 15)::INT END) AS said, (p BETWEEN lo AND hi)::INT AS esc FROM scored, bb WHERE label IS NOT NULL), c AS (SELECT lo, hi, {s_counts()}, avg(esc) AS share FROM z GROUP BY 1, 2) SELECT round(lo, 6) AS lo, round(hi, 6) AS hi, {S_MACRO} AS macro_f1, round(share, 6) AS share FROM c")
 def _(spark, sf):
     s = scored(spark, sf).filter("label is not null")
     q = s.agg(F.percentile("p", F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.7, 0.8, 0.9)))).alias("q")).first()["q"]
@@ -530,7 +530,7 @@ def _(spark, sf):
     return calibrate.evaluate(head, s, "label", "lang_norm")
 
 
-@query("c10_anchors", "SELECT lang_norm, count(*) AS n FROM gold WHERE lang_norm IS NOT NULL GROUP BY 1 HAVING count(*) >= 40")
+@query("a16_languages_of_forty", "SELECT lang_norm, count(*) AS n FROM gold WHERE lang_norm IS NOT NULL GROUP BY 1 HAVING count(*) >= 40")
 def _(spark, sf):
     return table(spark, sf, "gold").filter("lang_norm is not null").groupBy("lang_norm").agg(F.count(F.lit(1)).alias("n")).filter("n >= 40")
 
@@ -569,7 +569,7 @@ def _(spark, sf):
     return Workspace(spark, "roundtrip").save(table(spark, sf, "gold").select("uid", "label"), "gold")
 
 
-@query("k4_full_json", "SELECT claim_key, count(*) AS n FROM extracted_claims GROUP BY 1")
+@query("k4_keys_of_json", "SELECT claim_key, count(*) AS n FROM extracted_claims GROUP BY 1")
 def _(spark, sf):
     from veriscope.sources.writers import full_json
 

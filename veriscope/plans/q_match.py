@@ -159,7 +159,7 @@ def _(spark, sf):
     return _pairs(spark, sf).filter("q <> b").groupBy("q").agg(F.round(F.max("score"), 6).alias("best"))
 
 
-@query("m12_self_score_m13_ratio", _VEC + f" SELECT a.vec_id, round(least(1.0, greatest(0.0, {_DOT.replace('b.v', 'a.v')})), 6) AS self_score FROM e a")
+@query("m12_self_score", _VEC + f" SELECT a.vec_id, round(least(1.0, greatest(0.0, {_DOT.replace('b.v', 'a.v')})), 6) AS self_score FROM e a")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
     v = F.col("embedding")
@@ -420,7 +420,7 @@ def _(spark, sf):
     return d.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "position").alias("first"))
 
 
-@query("j17_by_position", "SELECT claim_key, row_number() OVER (PARTITION BY answer_id ORDER BY claim_key) AS position FROM extracted_claims")
+@query("w7_position_in_answer", "SELECT claim_key, row_number() OVER (PARTITION BY answer_id ORDER BY claim_key) AS position FROM extracted_claims")
 def _(spark, sf):
     return table(spark, sf, "extracted_claims").select("claim_key", big(F.row_number().over(Window.partitionBy("answer_id").orderBy("claim_key"))).alias("position"))
 
