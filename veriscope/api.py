@@ -54,6 +54,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact and fuzzy match, and the claim's names that the text holds, of each claim of a block with one text."""
     for b in batches:
         rows: list[tuple] = []
+        named: dict[str, list[str]] = {}
         for qs, i, path, text in zip(b.column("qs").to_pylist(), *(b.column(n).to_pylist() for n in ("source_index", "source_path", "text"))):
             low = text.lower()
             for q in qs:
@@ -61,7 +62,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit = K.exact_span(c, text) if c else None
                 score, s, e = (1.0, *hit) if hit else K.partial_ratio(c, text) if c else (0.0, 0, 0)
                 at = K.location(text, *hit) if hit else None
-                rows.append((q["qid"], i, path, hit is not None, at, text[slice(*hit)] if hit else None, score, text[s:e], at or K.location(text, s, e), text[max(0, s - BEFORE) : e + AFTER], [x for x in E.entities(c) if x.lower() in low]))
+                rows.append((q["qid"], i, path, hit is not None, at, text[slice(*hit)] if hit else None, score, text[s:e], at or K.location(text, s, e), text[max(0, s - BEFORE) : e + AFTER], [x for x in named.get(c) or named.setdefault(c, E.entities(c)) if x.lower() in low]))
         cols = list(zip(*rows)) or [()] * len(_SCANNED_PA)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(cols, _SCANNED_PA)], [n for n, _ in _SCANNED_PA])
 
@@ -102,7 +103,9 @@ def ground_batch(
     blocks = work.save(_blocks(asked), "blocks")
     spread = texts.join(blocks.select("group_id", "of").distinct(), "group_id").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
     met = spread.join(blocks, ["group_id", "blk"]).select("qs", "source_index", "source_path", "text")
-    layer = met.repartition(F.xxhash64(F.col("qs")[0]["qid"], "source_index")).mapInArrow(_scan, _SCANNED)
+    # a stated number of partitions: few bytes are much work here, so small ones must not be put together
+    tasks = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    layer = met.repartition(tasks, F.xxhash64(F.col("qs")[0]["qid"], "source_index")).mapInArrow(_scan, _SCANNED)
     best = layer.groupBy("qid").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by(F.struct("source_index", "source_path", F.col("exact_location").alias("location"), F.col("exact_text").alias("text")), F.when(F.col("exact"), F.col("source_index"))).alias("x"),
