@@ -157,3 +157,17 @@ def test_look_alike_classes(spark):
     got = sorted(map(tuple, C.look_alike_classes(df, Workspace(spark, "t")).collect()))
     assert got == [(1, 1, 2), (2, 1, 1), (3, 1, 1), (4, 4, 0), (7, 7, 0)]
     assert C.look_alike_classes(df.limit(0), Workspace(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("jvm", ["none", "no library", "few"])
+def test_look_alikes_without_the_library_are_an_error(jvm):
+    from types import SimpleNamespace as N
+
+    class Missing:
+        def __getattr__(self, name):  # what py4j gives for a class that is not there
+            return Missing() if name != "SpoofChecker" else N(Builder="a package")
+
+    few = N(com=N(ibm=N(icu=N(text=N(SpoofChecker=N(Builder=lambda: N(build=lambda: N(getSkeleton=lambda s: s[:9]))))))))
+    session = {"none": N(), "no library": N(_jvm=Missing()), "few": N(_jvm=few)}[jvm]
+    with pytest.raises(RuntimeError, match="ICU"):
+        C.look_alikes(session)

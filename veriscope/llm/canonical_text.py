@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +59,19 @@ def look_alikes(spark: SparkSession) -> dict[str, str]:
     Two cased letters count as drawn alike if they have one skeleton in the Unicode confusables data and are both
     capitals or both small. Latin letters beyond ASCII and letters with marks of their own are left as they are, and so
     is a letter whose place another one of its script has taken: no two letters of one script become equal.
+
+    Where the library can't be reached (a session without a JVM of its own, or one without ICU) this raises: with the
+    fixed values alone pairs would be missing, and the result would look like any other.
     """
     letters = [c for c in range(0x41, 0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll") and not unicodedata.decomposition(chr(c))]
     letters = [c for c in letters if c < 0x80 or not unicodedata.name(chr(c), "LATIN").startswith("LATIN")]
     try:
         checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
         skeletons = checker.getSkeleton("\n".join(map(chr, letters))).split("\n")
-    except (AttributeError, TypeError, Py4JError):  # a session without a JVM of its own
-        return dict(LOOK_ALIKE)
+    except (AttributeError, TypeError, Py4JError, PySparkException) as e:
+        raise RuntimeError("look-alike letters need the ICU library (com.ibm.icu) of the session's own JVM") from e
+    if len(skeletons) != len(letters):
+        raise RuntimeError(f"the ICU library gave {len(skeletons)} skeletons of {len(letters)} letters")
     script = lambda ch: unicodedata.name(ch, "").split(" ")[0]
     first: dict[tuple[str, str], str] = {}
     out, taken = dict(LOOK_ALIKE), {(kin, script(ch)) for ch, kin in LOOK_ALIKE.items()}
