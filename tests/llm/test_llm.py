@@ -335,3 +335,15 @@ def test_queries_on_empty_and_null_tables(spark, tmp_path, kind):
         assert rows == [] or kind == "nulls", name
         if name.endswith("_found"):
             assert rows == [], name
+
+
+def test_records_of_divided_leaves_are_counted_and_packed_in_parts(monkeypatch):
+    from veriscope.llm import near_duplicates as N
+
+    texts = pa.array(["texts too alike to be parted"] * 3000)
+    plan, records = N.make_plan(N._tokens(texts)[0], 300_000, 0.7, 0.99)
+    assert records == plan.roots * 75  # each text goes to all blocks of 4,000
+    monkeypatch.setattr(N, "RECORDS_PACKED", 10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), texts.slice(0, 400)], ["rep", "t"])
+    sizes = [sum(len(N._unpack([x])) for x in b.column("blob").to_pylist()) for b in N._spread(12, plan, records)(iter([batch]))]
+    assert sum(sizes) == 400 * records and max(sizes) <= 10_000

@@ -54,6 +54,8 @@ SLACK = 2.0
 GROUP_BYTES = 12_000_000
 #: Rows whose tokens are hashed at a time, and records compared at a time (both fit in a core's cache).
 ROWS_AT_ONCE, RECORDS_AT_ONCE = 1000, 20_000
+#: Records packed by a task at a time.
+RECORDS_PACKED = 2_000_000
 #: Pairs held by a task at a time.
 PAIRS_AT_ONCE = 1_000_000
 #: Leaves up to this size are compared together; rows of larger ones compared at a time.
@@ -144,6 +146,7 @@ class Plan:
         self.stuck: list[_Nodes] = []
         self.open: list[bool] = []
         self.divided, self.parts = _Nodes(np.zeros(0, np.uint64)), np.zeros(0, np.int64)  # large leaves and their blocks
+        self.copies = 0  # records of the sample's texts that the division adds
 
     def goes_on(self, node: np.ndarray, depth: int) -> np.ndarray:
         if depth >= len(self.open):
@@ -192,7 +195,10 @@ def _sized(tokens: np.ndarray, n: int, roots: int) -> tuple[Plan, np.ndarray]:
             opens = mean > LEAF and after[~large].sum() < SAVES * pairs[~large].sum()
         branched = large & saves
         stuck = large & ~saves
-        divided |= {int(k): -(-int(c * scale) // BLOCK_ROWS) for k, c in zip(ids[stuck], count[stuck]) if c * scale > BLOCK_ROWS}
+        for k, c in zip(ids[stuck].tolist(), count[stuck].tolist()):
+            if c * scale > BLOCK_ROWS:
+                divided[k] = -(-int(c * scale) // BLOCK_ROWS)
+                plan.copies += c * (divided[k] - 1)
         on = (opens & ~stuck[at]) | branched[at]
         plan.branched.append(_Nodes(ids[branched]))
         plan.stuck.append(_Nodes(ids[stuck]))
@@ -215,7 +221,7 @@ def _together(similarity: float, depth: int) -> float:
 
 
 def make_plan(tokens: np.ndarray, n: int, threshold: float, recall: float) -> tuple[Plan, float]:
-    """The plan with as many trees as pairs at the threshold need, and the paths of a text."""
+    """The plan with as many trees as pairs at the threshold need, and the records of a text."""
     _, ends = _sized(tokens, n, 1)
     share = ends / max(1.0, ends.sum())
     miss = np.array([1 - _together(threshold, d) for d in range(len(share))])
@@ -223,7 +229,7 @@ def make_plan(tokens: np.ndarray, n: int, threshold: float, recall: float) -> tu
     while (share * miss**roots).sum() > 1 - recall and roots < 64:
         roots += 1
     plan, ends = _sized(tokens, n, roots)
-    return plan, ends.sum() / max(1, len(tokens))
+    return plan, (ends.sum() + plan.copies) / max(1, len(tokens))
 
 
 def _leaves(tokens: np.ndarray, rep: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -280,13 +286,18 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(_REC).ravel()
 
 
-def _spread(groups: int, plan: Plan):
+def _spread(groups: int, plan: Plan, paths: float):
+    # texts whose records are made together; where large leaves are divided a text has a record for each block
+    step = max(1, int(RECORDS_PACKED / max(1.0, paths)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # batches are gathered, so that a group's records of a task are few blobs
         for rep, text in _gather(batches, 40_000):
             tokens, sketch, size = _tokens(text)
-            got = list(_pack(*_leaves(tokens, rep, plan), rep, sketch, size, groups))
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
+            for at in range(0, len(rep), step):
+                part = slice(at, at + step)
+                got = list(_pack(*_leaves(tokens[part], rep[part], plan), rep[part], sketch[:, part], size[part], groups))
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
 
     return run
 
@@ -472,7 +483,7 @@ def similar_representatives(reps: DataFrame, work: Workspace, threshold: float =
     tokens = np.frombuffer(b"".join(sample), np.uint32).reshape(-1, TOKENS)
     plan, paths = make_plan(tokens, n if share < 1 else len(tokens), threshold, recall)
     groups = max(12, math.ceil(n * paths * _REC.itemsize / GROUP_BYTES))
-    blobs = reps.mapInArrow(_spread(groups, plan), "g int, blob binary")
+    blobs = reps.mapInArrow(_spread(groups, plan, paths), "g int, blob binary")
     # a partition for each group of leaves: what a task reads does not grow with the table
     found = work.save(blobs.repartitionById(groups, "g").mapInArrow(_leaf_join(threshold, slack), "a bigint, b bigint"), "leaves")
     texts_a, texts_b = reps.select(F.col("rep").alias("a"), F.col("t").alias("ta")), reps.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
