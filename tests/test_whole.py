@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veriscope.operators import vectors
 
@@ -99,3 +100,16 @@ def test_ratio_and_held_out_accuracy_have_queries(spark, tmp_path):
     spark.createDataFrame([(i, f"u{i}", "g", "eval", "o", *r) for i, r in enumerate(g)], "row_id long, uid string, group_id string, role string, origin string, lang string, claim string, source_text string, label int").write.parquet(str(tmp_path / "gold.parquet"))
     got = {r["lang_norm"]: (r["accuracy"], r["n"]) for r in e.queries()["c32_held_out_accuracy"](spark, str(tmp_path)).collect()}
     assert got == {"en": (1.0, 2), "de": (0.5, 2)}
+
+
+def test_fuzzy_scores_of_many_pairs_are_those_of_each():
+    import random
+
+    from veriscope.functions import kernels as K
+
+    rng = random.Random(5)
+    draw = lambda most: "".join(rng.choices(rng.choice(["ab", "abcd ", "abcdefghij 日é😀"]), k=rng.randint(0, most)))
+    pairs = [(draw(30), draw(90)) for _ in range(900)] + [("x" * 130, "xy" * 400), ("", ""), ("a", "a")]
+    assert K.partial_ratios(pairs) == [K.partial_ratio(*p) for p in pairs]
+    for c, t in [("Der  STRASSE ſee", "in der\nstrasse See dort"), ("İı", "iİ"), ("Kelvin", "30 Kelvin"), ("σας", "ΣΑΣ"), ("ab", "a b"), ("", "x"), ("ﬅ", "ﬆ")]:
+        assert bool(K.exact_span(c, t)) == bool(K.one_case(c) and K.one_case(c) in K.one_case(t)), (c, t)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from typing import Protocol
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ class VerdictHead(Protocol):
 
 #: Claims of a group that meet a text together: a text is sent once for so many.
 BLOCK = 64
+#: Claims and texts that a task compares together.
+AT_ONCE = 4000
 #: Characters taken on either side of a fuzzy match when values are compared (fixed values).
 BEFORE, AFTER = 100, 200
 
@@ -52,19 +55,34 @@ _SCANNED_PA = [("qid", pa.string()), ("source_index", pa.int32()), ("source_path
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact and fuzzy match, and the claim's names that the text holds, of each claim of a block with one text."""
-    for b in batches:
-        rows: list[tuple] = []
-        named: dict[str, list[str]] = {}
-        for qs, i, path, text in zip(b.column("qs").to_pylist(), *(b.column(n).to_pylist() for n in ("source_index", "source_path", "text"))):
-            low = text.lower()
-            for q in qs:
-                c = q["claim"] or ""
-                hit = K.exact_span(c, text) if c else None
-                score, s, e = (1.0, *hit) if hit else K.partial_ratio(c, text) if c else (0.0, 0, 0)
-                at = K.location(text, *hit) if hit else None
-                rows.append((q["qid"], i, path, hit is not None, at, text[slice(*hit)] if hit else None, score, text[s:e], at or K.location(text, s, e), text[max(0, s - BEFORE) : e + AFTER], [x for x in named.get(c) or named.setdefault(c, E.entities(c)) if x.lower() in low]))
-        cols = list(zip(*rows)) or [()] * len(_SCANNED_PA)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(cols, _SCANNED_PA)], [n for n, _ in _SCANNED_PA])
+    held: list[tuple] = []
+    for b in chain(batches, [None]):
+        for at in range(0, b.num_rows if b is not None else 0, BLOCK):
+            part = b.slice(at, BLOCK)
+            for qs, i, path, text in zip(*(part.column(n).to_pylist() for n in ("qs", "source_index", "source_path", "text"))):
+                folded = K.one_case(text)
+                for q in qs:
+                    c = q["claim"] or ""
+                    bare = K.one_case(c)
+                    held.append((q["qid"], c, i, path, text, K.exact_span(c, text) if bare and bare in folded else None))
+            if len(held) >= AT_ONCE:
+                yield _scanned(held)
+                held = []
+    if held:
+        yield _scanned(held)
+
+
+def _scanned(held: list[tuple]) -> pa.RecordBatch:
+    scores = iter(K.partial_ratios([(c, text) for _, c, _, _, text, hit in held if c and not hit]))
+    rows: list[tuple] = []
+    named: dict[str, list[str]] = {}
+    for qid, c, i, path, text, hit in held:
+        score, s, e = (1.0, *hit) if hit else next(scores) if c else (0.0, 0, 0)
+        at = K.location(text, *hit) if hit else None
+        names = named[c] if c in named else named.setdefault(c, E.entities(c))
+        low = text.lower() if names else ""
+        rows.append((qid, i, path, hit is not None, at, text[slice(*hit)] if hit else None, score, text[s:e], at or K.location(text, s, e), text[max(0, s - BEFORE) : e + AFTER], [x for x in names if x.lower() in low]))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows), _SCANNED_PA)], [n for n, _ in _SCANNED_PA])
 
 
 def _compared(rows: DataFrame) -> DataFrame:
