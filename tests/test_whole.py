@@ -113,3 +113,39 @@ def test_fuzzy_scores_of_many_pairs_are_those_of_each():
     assert K.partial_ratios(pairs) == [K.partial_ratio(*p) for p in pairs]
     for c, t in [("Der  STRASSE ſee", "in der\nstrasse See dort"), ("İı", "iİ"), ("Kelvin", "30 Kelvin"), ("σας", "ΣΑΣ"), ("ab", "a b"), ("", "x"), ("ﬅ", "ﬆ")]:
         assert bool(K.exact_span(c, t)) == bool(K.one_case(c) and K.one_case(c) in K.one_case(t)), (c, t)
+
+
+def test_records_in_one_pass_have_the_scores_of_the_postings(spark):
+    from veriscope.functions import text as T
+    from veriscope.operators import bm25, features, lexical, segment
+    from veriscope.plans.shared import Workspace
+
+    word = lambda i: "".join(chr(97 + i * k % 26) for k in (1, 3, 7, 11, 5))
+    long = " ".join(f"Of {word(i)} and {word(i + 40)} tells pump {i % 3}, été {word(i + 80)}." for i in range(40))
+    rows = [(i, f"The pump {i % 4} and {word(i)} ran in été {word(i + 41)}", long) for i in range(1200)]
+    rows += [(2000, None, long), (2001, "pump", None), (2002, "pump", "..."), (2003, "...", "pump here"), (2004, "Nothing alike", "pump here"), (2005, "pump here", "pump here")]
+    df = spark.createDataFrame(rows, "row_id long, claim string, source_text string")
+    bg = features.rarity(df.select(F.col("source_text").alias("text")))
+    got = {r["row_id"]: r for r in features.low_tier(df, bg, keep=("_claim", "_best")).collect()}
+    assert len(got) == len(rows) and got[2000]["_claim"] is None and got[2001]["_best"] is None and got[2005]["oracle"] == 1
+    rec = df.select("row_id", "claim", F.coalesce("source_text", F.lit("")).alias("s")).withColumn("d", F.md5("s"))
+    work = Workspace(spark, "t")
+    chunks = work.save(segment.view_chunks(rec.select("d", "s").distinct(), ["d"], "s"), "chunks")
+    for name, analyzer in (("top", T.tokens), ("charng", T.bare_ngrams)):
+        posts = work.save(bm25.postings(chunks, "d", "chunk_no", analyzer=analyzer), name)
+        stats = bm25.statistics(posts, "d", "chunk_no")
+        if name == "top":
+            want = bm25.rank_recalls(bm25.recalls(rec, posts, *stats, "row_id", "d", "chunk_no", background=bg), "row_id", "chunk_no")
+            want = {r["row_id"]: (r["oracle"], r["second"]) for r in want.collect()}
+            assert all((got[i]["oracle"], got[i]["top3"]) == pytest.approx(want.get(i, (0, 0))) for i in got) and len(want) > 1000
+        else:
+            won = bm25.scores(rec, posts, *stats, "row_id", "d", "chunk_no", analyzer=analyzer).filter("score > 0").groupBy("row_id", "d").agg(F.min_by("chunk_no", F.struct(-F.col("score"), F.col("chunk_no"))).alias("chunk_no"))
+            want = {r["row_id"]: r["recall"] for r in bm25.recall_of(won, rec, posts, *stats, "row_id", "d", "chunk_no", analyzer=analyzer).collect()}
+            assert all(got[i]["charng"] == pytest.approx(want[i]) for i in want) and len(want) > 300
+            # m9: the passages of a group in one row
+            best = {r["row_id"]: r["recall"] for r in lexical.best_recall(rec, chunks, "row_id", "d", "chunk_no").collect()}
+            want = {r["row_id"]: r["m"] for r in bm25.recalls(rec, posts, *stats, "row_id", "d", "chunk_no", analyzer=analyzer).groupBy("row_id").agg(F.max("recall").alias("m")).collect()}
+            assert best == pytest.approx(want)
+    texts = ["Straße ÉTÉ 2½ a_b Ⅳ x²", "ΣΊΣΥΦΟΣ İstanbul", "日本 語e\u0301", None, ""]
+    t = spark.createDataFrame([(x,) for x in texts], "x string").select("x", T.tokens("x").alias("t"), T.bare_ngrams("x").alias("g")).collect()
+    assert all((lexical.tokens(r["x"] or ""), lexical.bare_ngrams(r["x"] or "")) == (r["t"], r["g"]) for r in t)
