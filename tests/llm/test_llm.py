@@ -1,6 +1,8 @@
 import base64
 import random
+import time
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -347,3 +349,29 @@ def test_records_of_divided_leaves_are_counted_and_packed_in_parts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(400)), texts.slice(0, 400)], ["rep", "t"])
     sizes = [sum(len(N._unpack([x])) for x in b.column("blob").to_pylist()) for b in N._spread(12, plan, records)(iter([batch]))]
     assert sum(sizes) == 400 * records and max(sizes) <= 10_000
+
+
+def test_shuffle_files_of_saved_tables_are_deleted(spark):
+    from veriscope.plans.shared import _RELEASE
+
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {d / f.name: f.stat().st_size for d in map(Path, local.localDirsString()) for f in d.rglob("shuffle_*.data")}
+
+    def left(before, least):
+        for _ in range(20):  # they are deleted in the background
+            time.sleep(0.25)
+            if (now := sum(n for f, n in shuffled().items() if f not in before)) <= least:
+                break
+        return now
+
+    set_before = spark.conf.get(_RELEASE, None)
+    df = spark.createDataFrame([(i, f"claim {i} of {i * 7919 % 1000} {i * 104729 % 1000} texts that are not much alike") for i in range(1500)], "row_id long, claim string")
+    before = shuffled()
+    pairs = N.similar_pairs(df, spark)  # not yet run; the tables it reads are written
+    assert left(before, 10_000) <= 10_000  # single counts; the records of the leaves alone take more
+    assert pairs.count() == pairs.count() and spark.conf.get(_RELEASE, None) == set_before
+    with pytest.raises(Exception, match="no such thing"):
+        Workspace(spark, "t", release=True).save(df.groupBy("claim").agg(F.max(F.raise_error(F.lit("no such thing")))), "fails")
+    assert spark.conf.get(_RELEASE, None) == set_before

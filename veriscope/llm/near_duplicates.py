@@ -495,7 +495,7 @@ def similar_pairs(df: DataFrame, spark: SparkSession, key: str = "row_id", text:
 
     Rows with a null text or one under three characters are in no pair.
     """
-    work = Workspace(spark, "neardup")
+    work = Workspace(spark, "neardup", release=True)
     members, reps = representatives(df, key, text, work)
     members = work.save(members, "members")
     alike = work.save(similar_representatives(reps, work, threshold), "alike")
@@ -518,7 +518,7 @@ def near_duplicate_classes(df: DataFrame, spark: SparkSession, key: str = "row_i
     """
     from veriscope.llm.related_splits import spanning_forest
 
-    work = Workspace(spark, "neardup")
+    work = Workspace(spark, "neardup", release=True)
     members, reps = representatives(df, key, text, work)
     members = work.save(members, "members")
     alike = work.save(similar_representatives(reps, work, threshold), "alike")
