@@ -375,3 +375,42 @@ def test_shuffle_files_of_saved_tables_are_deleted(spark):
     with pytest.raises(Exception, match="no such thing"):
         Workspace(spark, "t", release=True).save(df.groupBy("claim").agg(F.max(F.raise_error(F.lit("no such thing")))), "fails")
     assert spark.conf.get(_RELEASE, None) == set_before
+
+
+def test_texts_that_other_tokens_part_are_not_divided():
+    tokens = np.random.default_rng(5).integers(0, 20, (20_000, N.TOKENS)).astype(np.uint32)
+    tokens[:, ::8] = 7  # a token that all texts have parts none of them
+    plan, records = N.make_plan(tokens, 2_000_000, 0.7, 0.99)
+    assert len(plan.parts) == 0 and plan.copies == 0
+    assert len(np.unique(N._pick(N._root_ids(40).copy(), np.zeros(40, np.uint64), 0))) == 40
+    rows, node, used = N._roots(50, range(2))
+    for depth in range(10):
+        rows, node, used = N._step(rows, node, used, tokens, depth)
+        assert set(np.bitwise_count(used).tolist()) == {depth + 1}
+
+
+def test_trees_are_enough_for_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    texts = rng.integers(0, 30, (20_000, N.TOKENS)).astype(np.uint32)
+    twins = np.where(rng.random(texts.shape) < 0.69, texts, rng.integers(0, 30, texts.shape)).astype(np.uint32)  # 0.7 of the tokens are equal
+    plan, _ = N.make_plan(texts, 2_000_000, 0.7, 0.99)
+    both = [N._leaves(x, np.arange(len(x)), plan, range(plan.roots)) for x in (texts, twins)]
+    keys = [np.unique(_mixed(rows, node)) for rows, node in both]
+    met = np.unique(np.intersect1d(*keys) >> np.uint64(48))
+    assert len(met) >= 0.985 * len(texts)
+
+
+def _mixed(rows, node):
+    return (rows.astype(np.uint64) << np.uint64(48)) | (node >> np.uint64(16))
+
+
+def test_rounds_give_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 20)
+    df = spark.createDataFrame([(i, f"claim {i % 90} says that the {'abcdefgh'[i % 8] * 6} pump of {i % 90 * 7919} was closed in {i % 4}") for i in range(360)], "row_id long, claim string")
+    one = sorted(map(tuple, N.similar_pairs(df, spark).collect()))
+    seen = []
+    spread = N._spread
+    monkeypatch.setattr(N, "_spread", lambda groups, plan, paths, roots: (seen.append(roots), spread(groups, plan, paths, roots))[1])
+    monkeypatch.setattr(N, "RECORDS_IN_ROUND", 3)
+    assert sorted(map(tuple, N.similar_pairs(df, spark).collect())) == one and one
+    assert len(seen) > 1 and [k for r in seen for k in r] == list(range(seen[-1].stop))

@@ -1,8 +1,8 @@
 """p4: near-duplicate records by a chosen-path set similarity join.
 
 A claim is the set of its distinct substrings of three characters. From each root a claim goes down a tree: a node
-selects a few of the claim's minwise tokens (by a hash of the node, so that all claims in a node select alike), and for
-each the claim goes on to the child named by the token. Two claims of similarity J take such a step together with
+selects a few of the claim's minwise tokens (by a hash of the node, so that all claims in a node select alike, and none
+that was selected on the way to it), and for each the claim goes on to the child named by the token. Two claims of similarity J take such a step together with
 probability J, so similar ones stay together and others part. A node that is small is not branched on but compared
 exhaustively, on sketches of 192 parities. Independent trees are repeated until the recall asked for, and surviving pairs
 are measured exactly on the texts.
@@ -10,7 +10,8 @@ are measured exactly on the texts.
 Which nodes are large is told from a bounded sample of the texts before anything is shuffled: it gives the numbers of
 claims in large nodes and, for nodes too small to be met in it, their mean size by depth. So paths depend on the claim
 and this plan alone, and what is shuffled is one packed record for each leaf a claim reaches, once. The plan decides how
-far paths go and how many trees there are; every claim follows all of its paths. A large node of claims too alike to be
+far paths go and how many trees there are; every claim follows all of its paths. Trees with many records are shuffled in rounds,
+so that disk does not grow with their number. A large node of claims too alike to be
 parted is divided into blocks, and pairs of blocks are compared in tasks of their own.
 
 Repeats of one text are joined once and expanded at the end, so a group of copies costs one record.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -54,6 +56,8 @@ SLACK = 2.0
 GROUP_BYTES = 12_000_000
 #: Rows whose tokens are hashed at a time, and records compared at a time (both fit in a core's cache).
 ROWS_AT_ONCE, RECORDS_AT_ONCE = 1000, 20_000
+#: Records of a text that are shuffled at a time: further trees follow in rounds, so that disk does not grow with their number.
+RECORDS_IN_ROUND = 16
 #: Records packed by a task at a time.
 RECORDS_PACKED = 2_000_000
 #: Pairs held by a task at a time.
@@ -118,9 +122,14 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, sketch, size
 
 
-def _children(node: np.ndarray, rows: np.ndarray, tokens: np.ndarray, child: int) -> np.ndarray:
-    pick = (_mix(node + np.uint64(0x9E3779B97F4A7C15 * (child + 1) % 2**64)) % np.uint64(TOKENS)).astype(np.int64)
-    return _mix(node ^ _mix((tokens[rows, pick].astype(np.uint64) << np.uint64(8)) | pick.astype(np.uint64)))
+def _pick(node: np.ndarray, used: np.ndarray, child: int) -> np.ndarray:
+    """The token that each node selects for a child, none of those ``used`` (bits): they would keep all claims together."""
+    drawn = _mix(node + np.uint64(0x9E3779B97F4A7C15 * (child + 1) % 2**64))
+    pick = drawn % np.uint64(TOKENS)
+    while len(again := np.flatnonzero((used >> pick) & np.uint64(1))):
+        drawn[again] = _mix(drawn[again] + np.uint64(1))
+        pick[again] = drawn[again] % np.uint64(TOKENS)
+    return pick
 
 
 class _Nodes:
@@ -156,26 +165,64 @@ class Plan:
         return self.branched[depth].at(node) >= 0
 
 
-def _roots(n: int, roots: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = _mix(np.arange(1, roots + 1, dtype=np.uint64))
-    return np.tile(np.arange(n), roots), np.repeat(ids, n)
+@cache
+def _root_ids(roots: int) -> np.ndarray:
+    """Roots that select different tokens, as long as there are such."""
+    ids: list[int] = []
+    taken: set[int] = set()
+    k = 0
+    while len(ids) < roots:
+        k += 1
+        node = _mix(np.array([k], np.uint64))
+        pick = int(_pick(node, np.zeros(1, np.uint64), 0)[0])
+        if pick not in taken:
+            ids.append(int(node[0]))
+            taken.add(pick)
+        if len(taken) == TOKENS:
+            taken.clear()
+    return np.array(ids, np.uint64)
 
 
-def _step(rows: np.ndarray, node: np.ndarray, tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The children, one level down."""
-    width = 1 if depth == 0 else BRANCHES[(depth - 1) % len(BRANCHES)]  # a root's further children are further roots
-    return np.tile(rows, width), np.concatenate([_children(node, rows, tokens, c) for c in range(width)])
+def _roots(n: int, roots: range) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = _root_ids(roots.stop)[roots.start :]
+    return np.tile(np.arange(n), len(roots)), np.repeat(ids, n), np.zeros(n * len(roots), np.uint64)
+
+
+def _width(depth: int) -> int:
+    return 1 if depth == 0 else BRANCHES[(depth - 1) % len(BRANCHES)]  # a root's further children are further roots
+
+
+def _step(rows: np.ndarray, node: np.ndarray, used: np.ndarray, tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The children, one level down, and the tokens selected on the way to them."""
+    width, taken = _width(depth), used
+    nodes, ways = [], []
+    for c in range(width):
+        pick = _pick(node, taken, c)
+        bit = np.uint64(1) << pick
+        taken = taken | bit
+        nodes.append(_mix(node ^ _mix((tokens[rows, pick.astype(np.int64)].astype(np.uint64) << np.uint64(8)) | pick)))
+        ways.append(used | bit)
+    return np.tile(rows, width), np.concatenate(nodes), np.concatenate(ways)
+
+
+def _kept(tokens: np.ndarray, used: int, own: int) -> float:
+    """Share of the pairs of these claims that stay together on a token, on average over those not yet used."""
+    n, free = len(tokens), [t for t in range(TOKENS) if not used >> t & 1]
+    counts = [np.unique(tokens[:, t], return_counts=True)[1].astype(np.float64) for t in free]
+    return sum((c * (c - own)).sum() for c in counts) / max(1.0, len(free) * float(n) * (n - own))
 
 
 def _sized(tokens: np.ndarray, n: int, roots: int) -> tuple[Plan, np.ndarray]:
     """The plan for ``roots`` trees over ``n`` texts from the tokens of a sample, and how many paths end at each depth.
 
     A large node is branched on while that saves comparisons: where its claims are so alike that most stay together on
-    every child, it is left whole. The same goes, by their mean, for the nodes too small to be told from the sample.
+    every child, it is left whole. The same goes, by their mean, for the nodes too small to be told from the sample. A
+    node so large that it would be divided is left whole only if its claims stay together on most other tokens too, not
+    because it happens to select one that many texts have: what is divided is copied once a block, which grows with the table.
     """
     s, plan = len(tokens), Plan(roots)
     scale, own = n / max(1, s), int(s < n)  # of a node's claims in a sample one has been counted for itself
-    rows, node = _roots(s, roots)
+    rows, node, used = _roots(s, range(roots))
     ends = np.zeros(DEEPEST + 1)
     divided: dict[int, int] = {}
     for depth in range(DEEPEST + 1):
@@ -187,12 +234,17 @@ def _sized(tokens: np.ndarray, n: int, roots: int) -> tuple[Plan, np.ndarray]:
         saves = np.zeros(len(ids), bool)
         opens = False
         if depth < DEEPEST and on.any():
-            _, below = _step(rows[on], node[on], tokens, depth)
+            _, below, _ = _step(rows[on], node[on], used[on], tokens, depth)
             kids, first, each = np.unique(below, return_index=True, return_counts=True)
             parent = np.tile(at[on], len(below) // int(on.sum()))[first]
             after = np.bincount(parent, each.astype(np.float64) * (each - own), len(ids))
             saves = after < SAVES * pairs
             opens = mean > LEAF and after[~large].sum() < SAVES * pairs[~large].sum()
+            whole = np.flatnonzero(large & ~saves & (count * scale > BLOCK_ROWS))
+            order, start = np.argsort(at, kind="stable"), np.cumsum(count) - count
+            for k in whole.tolist():
+                own_paths = order[start[k] : start[k] + count[k]]
+                saves[k] = _width(depth) * _kept(tokens[rows[own_paths]], int(used[own_paths[0]]), own) < SAVES
         branched = large & saves
         stuck = large & ~saves
         for k, c in zip(ids[stuck].tolist(), count[stuck].tolist()):
@@ -206,43 +258,47 @@ def _sized(tokens: np.ndarray, n: int, roots: int) -> tuple[Plan, np.ndarray]:
         ends[depth] += (~on).sum()
         if not on.any():
             break
-        rows, node = _step(rows[on], node[on], tokens, depth)
+        rows, node, used = _step(rows[on], node[on], used[on], tokens, depth)
     plan.divided = _Nodes(np.array(list(divided), np.uint64))
     plan.parts = np.array([divided[int(k)] for k in plan.divided.ids], np.int64)
     return plan, ends
 
 
-def _together(similarity: float, depth: int) -> float:
-    """Probability that two texts share a node at this depth below one root."""
+def _together(common: int, depth: int) -> float:
+    """Probability that two texts with so many of their tokens in common share a node at this depth below one root."""
     q = 1.0
-    for d in range(depth - 1, 0, -1):
-        q = 1 - (1 - similarity * q) ** BRANCHES[(d - 1) % len(BRANCHES)]
-    return similarity * q if depth else 1.0
+    for d in range(depth - 1, -1, -1):
+        q = 1 - (1 - max(0, common - d) / (TOKENS - d) * q) ** _width(d)
+    return q
 
 
 def make_plan(tokens: np.ndarray, n: int, threshold: float, recall: float) -> tuple[Plan, float]:
-    """The plan with as many trees as pairs at the threshold need, and the records of a text."""
+    """The plan with as many trees as pairs at the threshold need, and the records of a text.
+
+    Of their tokens such pairs have the share ``threshold`` in common on average only; those with fewer are missed more often.
+    """
     _, ends = _sized(tokens, n, 1)
     share = ends / max(1.0, ends.sum())
-    miss = np.array([1 - _together(threshold, d) for d in range(len(share))])
+    often = np.array([math.comb(TOKENS, m) * threshold**m * (1 - threshold) ** (TOKENS - m) for m in range(TOKENS + 1)])
+    miss = np.array([[1 - _together(m, d) for d in range(len(share))] for m in range(TOKENS + 1)])
     roots = 1
-    while (share * miss**roots).sum() > 1 - recall and roots < 64:
+    while often @ miss**roots @ share > 1 - recall and roots < 64:
         roots += 1
     plan, ends = _sized(tokens, n, roots)
     return plan, (ends.sum() + plan.copies) / max(1, len(tokens))
 
 
-def _leaves(tokens: np.ndarray, rep: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Row and leaf of every path of every tree."""
+def _leaves(tokens: np.ndarray, rep: np.ndarray, plan: Plan, roots: range) -> tuple[np.ndarray, np.ndarray]:
+    """Row and leaf of every path of these trees."""
     all_rows, all_nodes = [], []
-    rows, node = _roots(len(tokens), plan.roots)
+    rows, node, used = _roots(len(tokens), roots)
     for depth in range(DEEPEST + 1):
         on = plan.goes_on(node, depth)
         all_rows.append(rows[~on])
         all_nodes.append(node[~on])
         if not on.any():
             break
-        rows, node = _step(rows[on], node[on], tokens, depth)
+        rows, node, used = _step(rows[on], node[on], used[on], tokens, depth)
     rows, node = np.concatenate(all_rows), np.concatenate(all_nodes)
     return _blocks(rows, node, rep, plan) if len(plan.parts) else (rows, node)
 
@@ -286,7 +342,9 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1).T).view(_REC).ravel()
 
 
-def _spread(groups: int, plan: Plan, paths: float):
+def _spread(groups: int, plan: Plan, paths: float, roots: range | None = None):
+    """Packed records of the leaves of these trees, all by default; ``paths`` is how many a text has."""
+    trees = range(plan.roots) if roots is None else roots
     # texts whose records are made together; where large leaves are divided a text has a record for each block
     step = max(1, int(RECORDS_PACKED / max(1.0, paths)))
 
@@ -296,7 +354,7 @@ def _spread(groups: int, plan: Plan, paths: float):
             tokens, sketch, size = _tokens(text)
             for at in range(0, len(rep), step):
                 part = slice(at, at + step)
-                got = list(_pack(*_leaves(tokens[part], rep[part], plan), rep[part], sketch[:, part], size[part], groups))
+                got = list(_pack(*_leaves(tokens[part], rep[part], plan, trees), rep[part], sketch[:, part], size[part], groups))
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], ["g", "blob"])
 
     return run
@@ -482,10 +540,16 @@ def similar_representatives(reps: DataFrame, work: Workspace, threshold: float =
     sample = [r[0] for r in drawn.select("rep", "t").mapInArrow(_token_rows, "tokens binary").collect()]  # SAMPLE times 192 bytes, about
     tokens = np.frombuffer(b"".join(sample), np.uint32).reshape(-1, TOKENS)
     plan, paths = make_plan(tokens, n if share < 1 else len(tokens), threshold, recall)
-    groups = max(12, math.ceil(n * paths * _REC.itemsize / GROUP_BYTES))
-    blobs = reps.mapInArrow(_spread(groups, plan, paths), "g int, blob binary")
-    # a partition for each group of leaves: what a task reads does not grow with the table
-    found = work.save(blobs.repartitionById(groups, "g").mapInArrow(_leaf_join(threshold, slack), "a bigint, b bigint"), "leaves")
+    rounds = max(1, min(plan.roots, math.ceil(paths / RECORDS_IN_ROUND)))
+    parts = []
+    for k in range(rounds):
+        roots = range(plan.roots * k // rounds, plan.roots * (k + 1) // rounds)
+        own = paths * len(roots) / plan.roots
+        groups = max(12, math.ceil(n * own * _REC.itemsize / GROUP_BYTES))
+        blobs = reps.mapInArrow(_spread(groups, plan, own, roots), "g int, blob binary")
+        # a partition for each group of leaves: what a task reads does not grow with the table
+        parts.append(work.save(blobs.repartitionById(groups, "g").mapInArrow(_leaf_join(threshold, slack), "a bigint, b bigint"), "leaves"))
+    found = reduce(DataFrame.unionByName, parts)
     texts_a, texts_b = reps.select(F.col("rep").alias("a"), F.col("t").alias("ta")), reps.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
     return found.distinct().join(texts_a, "a").join(texts_b, "b").select("a", "b", "ta", "tb").mapInArrow(_measure(threshold), "a bigint, b bigint")
 
